@@ -130,24 +130,29 @@ def fit(docs: DataFrame, labels: DataFrame, learn, positives: int = POSITIVES, u
     ones. Each side is a hash sample of distinct texts of at most the given bound, so the driver's share is bounded
     whatever the input; conflicting labels of one id count as toxic.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     lab = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     lab = lab.where(learn)
     n, pos = lab.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
     prior = min(0.9, max(0.001, pos / n)) if n else 0.05
-    # both classes by the same law: a hash of the id under a share, twice the bound on average before equal texts fall together
+    # both sides by the same law: a hash of the id under a share that gives a fourth more than the bound, before equal texts fall together
     total = docs.count()
-    share = lambda want, have: F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < F.lit(int(min(1.0, 2 * want / max(have, 1)) * (1 << 20)))
+    share = lambda want, have: F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < F.lit(int(min(1.0, 1.25 * want / max(have, 1)) * (1 << 20)))
     text = docs.where(learn).select("doc_id", "text")
-    known = text.join(lab.where("toxic = 1").where(share(positives, pos)).select("doc_id"), "doc_id")
+    sure = lab.where("toxic = 1").where(share(positives, pos)).select("doc_id")
+    known = text.join(F.broadcast(sure), "doc_id")  # about 1.25 * positives ids at most, whatever the input
     rest = text.where(share(unlabelled, total))  # the whole corpus is the unlabelled side: the prior is its share, so confirmed texts stay in
 
     def take(df: DataFrame, n: int) -> list[np.ndarray]:
-        one = df.groupBy(F.xxhash64("text").alias("h")).agg(F.min_by("text", "doc_id").alias("text")).orderBy("h").limit(n)
-        out = arrow_map(one.select("text"), lambda b: pa.record_batch({"f": pa.array([text_features(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())}), "f binary")
-        return [np.frombuffer(x, np.uint32) for x in out.toArrow()["f"].to_pylist()]
+        one = df.groupBy(F.xxhash64("text").alias("h")).agg(F.min_by("text", "doc_id").alias("text"))
+
+        def f(b: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.record_batch({"h": b.column("h"), "f": pa.array([text_features(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())})
+
+        got = arrow_map(one.select("h", "text"), f, "h long, f binary").toArrow()
+        rows = sorted(zip(got["h"].to_pylist(), got["f"].to_pylist(), strict=True))[:n]
+        return [np.frombuffer(x, np.uint32) for _, x in rows]
 
-    del spark
     return train(take(known, positives), take(rest, unlabelled), prior)
 
 
