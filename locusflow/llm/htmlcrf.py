@@ -122,7 +122,7 @@ def path_features(path: tuple[str, ...]) -> list[str]:
     return sorted({f"a:{w}" for w in words} | ({f"p:{w}" for w in path[-1].split()} if path else {"p:none"}))
 
 
-def text_features(b: Block, i: int, n: int) -> list[str]:
+def text_features(b: Block) -> list[str]:
     size = len(b.text)
     share = b.linked / size
     return [
@@ -131,8 +131,6 @@ def text_features(b: Block, i: int, n: int) -> list[str]:
         "t:stop" if _STOP.search(b.text) else "t:nostop",
         "t:commas%d" % min(2, b.text.count(",")),
         *(["t:sign"] if size < 300 and _SIGN.search(b.text) else []),
-        *(["t:first"] if i == 0 else []),
-        *(["t:last"] if i == n - 1 else []),
     ]
 
 
@@ -147,7 +145,7 @@ _REST = {
     "notice": ['<div class="cookie-notice">', '<div class="notice">', '<div id="cookie-banner">', '<div class="alert">', '<div class="consent">', '<div class="popup modal">', '<div class="newsletter subscribe">', '<dialog>', '<div role="alert">', '<div hidden>', '<div style="display:none">'],
     "ad": ['<div class="ad">', '<div class="ads">', '<div class="advert">', '<div class="sponsored">', '<div id="ad-slot">', '<aside class="ad">', '<div class="advertisement">', '<div class="promo">'],
     "form": ['<form>', '<form class="search">', '<div class="login"><form>', '<fieldset>', '<form id="newsletter">'],
-    "comments": ['<section class="comments">', '<div class="comment">', '<div id="comments">', '<section id="comments"><div class="comment-body">', '<ol class="commentlist">', '<div class="reply">', '<div class="reader-comments">'],
+    "comments": ['<section class="comments">', '<div class="comment">', '<div id="comments">', '<section id="comments"><div class="comment-body">', '<ol class="commentlist">', '<div class="reply">', '<div class="reader-comments">', '<article class="comment">', '<div class="comments"><article>'],
 }
 
 
@@ -183,7 +181,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
             elif kind in ("comments", "notice", "ad", "side"):
                 leaf(rng.choice(["p", "div", "p"]), rng.choice([prose(1, 3), prose(1, 3), link, words(1, 6)]), 0)
             else:
-                leaf(rng.choice(["p", "div", "span class=x", "h1", "h2", "label"][: 6 if kind == "top" else 3]).replace("span class=x", "p"), rng.choice([words(1, 5), prose(1, 2), link, "&copy; " + words(1, 3) + " &middot; " + prose(1, 2)]), 0)
+                leaf(rng.choice(["p", "div", "p", "h1", "h2", "h3"][: 6 if kind == "top" else 3]), rng.choice([words(1, 5), prose(1, 2), link, "&copy; " + words(1, 3) + " &middot; " + prose(1, 2)]), 0)
         if kind == "menu" and not opened.startswith("<ul"):
             page.append("</ul>")
         page.append(_end(opened))
@@ -193,12 +191,14 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
         page.append(opened + rng.choice([words(1, 8), prose(1, 3)]) + _end(opened))
         labels.append(0)
 
-    page.append(f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><script>var a='</p>';</script></head><body>")
-    labels.append(0)
+    busy = rng.random() < 0.85  # else a bare page: nothing but the story
+    if busy or rng.random() < 0.3:
+        page.append(f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><script>var a='</p>';</script></head><body>")
+        labels.append(0)
     if rng.random() < 0.3:
         page.append(rng.choice(['<div id="page">', '<div class="wrapper">', '<div class="container">']))
     for kind in ("top", "menu", "notice", "ad", "side", "form"):
-        if rng.random() < 0.5:
+        if busy and rng.random() < 0.5:
             (bare if kind in ("ad", "notice", "top", "side") and rng.random() < 0.5 else rest)(kind)
     opened = rng.choice(_MAIN[:2]) if rng.random() < 0.4 else rng.choice(_MAIN)
     page.append(opened)
@@ -229,7 +229,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
         rest("comments")
     page.append(_end(opened))
     for kind in ("comments", "side", "ad", "menu", "form", "notice", "bottom"):
-        if rng.random() < (0.8 if kind == "bottom" else 0.35):
+        if busy and rng.random() < (0.8 if kind == "bottom" else 0.35):
             (bare if kind in ("ad", "notice", "bottom", "side") and rng.random() < 0.5 else rest)(kind)
     page.append(rng.choice(["</body></html>", ""]))
     return "".join(page), labels
@@ -256,7 +256,7 @@ class Chain:
                 if len(memo) > 100_000:
                     memo.clear()
                 e = memo[b.path] = sum(w.get(f, 0.0) for f in path_features(b.path))
-            for f in text_features(b, i, n):
+            for f in text_features(b):
                 e += w.get(f, 0.0)
             if i:
                 a0, b0, a1, b1 = s0 + t00, s1 + t10, s0 + t01, s1 + t11
@@ -275,7 +275,7 @@ def fit(pages: list[tuple[str, list[int]]], steps: int = 120, l2: float = 1e-3)
     for page, y in pages:
         blocks = leaf_blocks(page)
         if blocks and len(blocks) == len(y):
-            seqs.append(([path_features(b.path) + text_features(b, i, len(blocks)) for i, b in enumerate(blocks)], y))
+            seqs.append(([path_features(b.path) + text_features(b) for b in blocks], y))
     count: dict[str, int] = {}
     for fs, _ in seqs:
         for f in fs:
