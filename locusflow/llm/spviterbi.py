@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,35 +46,50 @@ class Pieces:
         self.unknown = min((s for s, _ in self.best.values()), default=0.0) - UNKNOWN
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.best)
         self.split = None if crossing else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.memo: dict[str, bytes] = {}
+        #: every piece, and every beginning of one (id -1): a walk stops where no piece goes on
+        self.tree = {p[:n]: (0.0, -1) for p in self.best for n in range(1, len(p))} | self.best
+        self.raw = [bytes([int(p[3:5], 16)]) if k == "byte" else p.replace(MARK, " ").encode() if k == "normal" else " ⁇ ".encode() if k == "unknown" else b"" for p, k in zip(self.text, self.kind, strict=True)]
+        pieces_of = self
+
+        class Memo(dict):
+            def __missing__(self, seg):
+                got = np.array([i for part in pieces_of.stream(seg) for i in part], np.uint32).tobytes()
+                if len(seg) <= 64:
+                    if len(self) > 500_000:
+                        self.clear()
+                    self[seg] = got
+                return got
+
+        self.memo = Memo()
 
     def _spell(self, ch: str) -> list[int]:
         return [self.byte[b] for b in ch.encode()] if len(self.byte) == 256 else [self.unk]
 
     def stream(self, text: str) -> Iterator[list[int]]:
-        """Ids of marked text, in committed groups."""
-        best, reach, lost = self.best, self.reach, self.unknown
+        """Ids of marked text, in committed groups. Ties go to the longer last piece, and to a piece over an unknown character."""
+        tree, reach, lost, low = self.tree, self.reach, self.unknown, float("-inf")
         n, base = len(text), 0
-        score, prev, ids = [0.0], [0], [None]  # of position base + i
-        for end in range(1, n + 1):
-            top, at, own = float("-inf"), end - 1, None
-            for start in range(max(base, end - reach), end):
-                hit = best.get(text[start:end])
-                if hit is not None and (s := score[start - base] + hit[0]) > top:
-                    top, at, own = s, start, hit[1]
-            if (s := score[end - 1 - base] + lost) > top:
-                top, at, own = s, end - 1, None
-            score.append(top)
-            prev.append(at)
-            ids.append(own)
-            if end - base >= LOOK and end < n and end % LOOK == 0:
-                meet = self._meet(prev, base, end)
-                if meet > base:
-                    yield self._walk(text, prev, ids, base, meet)
-                    score, prev, ids = score[meet - base :], prev[meet - base :], ids[meet - base :]
-                    low = score[0]
-                    score = [x - low for x in score]
-                    base = meet
+        score, prev, ids = [0.0], [0], [None]  # of position base + i; final up to the current start
+        for start in range(n):
+            if start - base >= LOOK and start % LOOK == 0 and (meet := self._meet(prev, base, start)) > base:
+                yield self._walk(text, prev, ids, base, meet)
+                score, prev, ids = [x - score[meet - base] for x in score[meet - base :]], prev[meet - base :], ids[meet - base :]
+                base = meet
+            last = min(n, start + reach)
+            if (more := last - base + 1 - len(score)) > 0:
+                score += [low] * more
+                prev += [0] * more
+                ids += [None] * more
+            here = score[start - base]
+            for end in range(start + 1, last + 1):
+                hit = tree.get(text[start:end])
+                if hit is None:
+                    break
+                s, own = hit
+                if own >= 0 and (s := here + s) > score[i := end - base]:
+                    score[i], prev[i], ids[i] = s, start, own
+            if here + lost > score[i := start + 1 - base]:
+                score[i], prev[i], ids[i] = here + lost, start, None
         if n > base:
             yield self._walk(text, prev, ids, base, n)
 
@@ -101,33 +117,15 @@ class Pieces:
         marked = MARK + text.replace(" ", MARK)
         if self.split is None:
             return np.array([i for part in self.stream(marked) for i in part], np.uint32)
-        memo, out = self.memo, []
-        for seg in self.split.findall(marked):
-            got = memo.get(seg)
-            if got is None:
-                got = np.array([i for part in self.stream(seg) for i in part], np.uint32).tobytes()
-                if len(seg) <= 64:
-                    if len(memo) > 500_000:
-                        memo.clear()
-                    memo[seg] = got
-            out.append(got)
-        return np.frombuffer(b"".join(out), np.uint32)
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, self.split.findall(marked))), np.uint32)
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: list[int]) -> str:
         """The text of ids: byte pieces join into UTF-8, marks are spaces, the first mark goes; unknown ids give U+2047 in spaces."""
-        raw = bytearray()
-        for i in ids:
-            kind = self.kind[i]
-            if kind == "byte":
-                raw.append(int(self.text[i][3:5], 16))
-            elif kind == "normal":
-                raw += self.text[i].encode()
-            elif kind == "unknown":
-                raw += " ⁇ ".encode()
-        text = raw.decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
+@lru_cache(maxsize=1)  # kept by a worker from task to task
 def public_pieces() -> Pieces:
     import public_tokenizers as p
     import sentencepiece
