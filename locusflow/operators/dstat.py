@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 
@@ -35,7 +36,7 @@ def d_statistic(patterns: DataFrame) -> DataFrame:
     return t.withColumn("d", (F.col("abba") - F.col("baba")) / F.nullif(F.col("abba") + F.col("baba"), F.lit(0.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _erfc(z: pd.Series) -> pd.Series:
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)), na_action="ignore")
 
