@@ -55,6 +55,17 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return arrow_map(df.select(F.col(key).alias("id"), utf8(text).alias("raw")), f, f"id {kind}, fp long").withColumnRenamed("id", key)
 
 
+def with_fingerprint(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with fingerprint (16 hex digits) of each row's whole text; null is empty. No shuffle."""
+    prepare(df.sparkSession)
+
+    def f(b: pa.RecordBatch) -> pa.RecordBatch:
+        raw = [(t or "").encode() for t in b.column(text).to_pylist()]
+        return b.append_column("fingerprint", pa.array([f"{fingerprint(x):016x}" for x in raw], pa.string()))
+
+    return arrow_map(df.drop("fingerprint"), f, ", ".join(f"`{c}` {t}" for c, t in df.drop("fingerprint").dtypes) + ", fingerprint string")
+
+
 def _star(fp: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links (positions in ``fp``): every member with the smallest of its component."""
     root = {}

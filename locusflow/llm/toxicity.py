@@ -79,7 +79,7 @@ def _select(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, least: i
     return ids[(a + b >= least) & (stat > CHI2) & (p >= LIFT * u)]
 
 
-def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, epochs: int = 150, rate: float = 1.0, l2: float = 1e-3, least: int = 3, seed: int = 0) -> Model:
+def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, epochs: int = 150, rate: float = 1.0, l2: float = 2e-3, least: int = 3, seed: int = 0) -> Model:
     """Fit the linear model with AdaGrad on the non-negative risk (logistic loss). Without positives every score is the prior."""
     base = float(np.log(max(prior, 1e-4) / (1 - min(prior, 0.9999))))
     if not pos or not unl:
