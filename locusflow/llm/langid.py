@@ -22,7 +22,7 @@ from locusflow.session import prepare
 
 BITS = 12
 #: Bound of the training sample, over all languages, in documents.
-SAMPLE = 6000
+SAMPLE = 4000
 UNKNOWN = "und"
 #: Families by ISO 639-1 code; a language that is not listed is a family of its own.
 FAMILIES = {"germanic": ("en", "de", "nl", "sv", "da", "no"), "romance": ("fr", "es", "it", "pt", "ro", "ca"), "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr")}

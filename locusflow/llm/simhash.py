@@ -208,5 +208,6 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     label = found.join(reps, found.node == reps.fp).select("component", "node", "rep")
     least = label.groupBy("component").agg(F.min("rep").alias("least"))
     moved = label.join(least, "component").select(F.col("node").alias("fp"), "least")
-    of = reps.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    # written, so that the last join is of two plain shuffles, whose hot fingerprints adaptive execution splits
+    of = cut(reps.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")))
     return fps.join(of, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -21,10 +21,12 @@ from locusflow.llm.common import arrow_map, fold
 from locusflow.session import prepare
 
 #: Bounds of the training sample: confirmed toxic texts and unlabelled texts.
-POSITIVES, UNLABELLED = 4000, 12000
+POSITIVES, UNLABELLED = 3000, 8000
 THRESHOLD = 0.3
 #: A feature's least chi-square statistic and lift.
 CHI2, LIFT = 15.0, 2.5
+#: Ranks, as multiples of the prior, between which the threshold is placed.
+GAP = (0.8, 1.0)
 BEGINNINGS = (4, 5)
 _WORD = re.compile(r"\w+")
 
@@ -70,16 +72,17 @@ def _select(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, least: i
 
     A word that only toxic texts use has a lift of one over the prior, since unlabelled texts hold their share of toxic ones.
     """
-    ids, inv = np.unique(np.concatenate(pos + unl) if pos or unl else np.empty(0, np.uint32), return_inverse=True)
-    split = sum(map(len, pos))
-    a, b = np.bincount(inv[:split], minlength=len(ids)), np.bincount(inv[split:], minlength=len(ids))
+    (ip, cp), (iu, cu) = (np.unique(np.concatenate(x) if x else np.empty(0, np.uint32), return_counts=True) for x in (pos, unl))
+    ids = np.union1d(ip, iu)
+    a, b = np.zeros(len(ids)), np.zeros(len(ids))
+    a[np.searchsorted(ids, ip)], b[np.searchsorted(ids, iu)] = cp, cu
     n, m = max(1, len(pos)), max(1, len(unl))
     p, u, all_ = a / n, b / m, (a + b) / (n + m)
     stat = (p - u) ** 2 / np.maximum(all_ * (1 - all_) * (1 / n + 1 / m), 1e-12)
     return ids[(a + b >= least) & (stat > CHI2) & (p >= LIFT * u)]
 
 
-def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, epochs: int = 150, rate: float = 1.0, l2: float = 2e-3, least: int = 3, seed: int = 0) -> Model:
+def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, epochs: int = 150, rate: float = 1.0, l2: float = 1e-3, least: int = 3, seed: int = 0) -> Model:
     """Fit the linear model with AdaGrad on the non-negative risk (logistic loss). Without positives every score is the prior."""
     base = float(np.log(max(prior, 1e-4) / (1 - min(prior, 0.9999))))
     if not pos or not unl:
@@ -120,6 +123,13 @@ def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, epochs: in
             gb += g0 * g0
             w -= rate * g / np.sqrt(gw)
             b -= rate * g0 / np.sqrt(gb)
+    # The clamp holds the bias where the negative risk is nought, not where classes part. So that THRESHOLD parts them, the scores are shifted to
+    # put it into the widest gap among the unlabelled scores near the rank that the prior predicts.
+    z = np.sort(margin(U)[0])[::-1]
+    top = z[int(GAP[0] * prior * len(z)) : int(GAP[1] * prior * len(z)) + 2]
+    if len(top) > 1:
+        i = int(np.argmax(top[:-1] - top[1:]))
+        b += float(np.clip(np.log(THRESHOLD / (1 - THRESHOLD)) - (top[i] + top[i + 1]) / 2, -1.5, 1.5))
     return Model({int(f): float(x) for f, x in zip(keep, w, strict=True) if abs(x) > 1e-3}, float(b))
 
 
