@@ -50,7 +50,7 @@ class Model:
 
         class Memo(dict):
             def __missing__(self, word):
-                if len(self) > 400_000:
+                if len(self) > 150_000:
                     self.clear()
                 self[word] = got = tuple((f, w) for f in features(word) if (w := weights.get(f)))
                 return got
