@@ -71,9 +71,9 @@ def bootstrap(loci: DataFrame, replicates: int = 1000, seed: int = 1) -> DataFra
 
 
 def sign_runs(blocks: DataFrame) -> DataFrame:
-    """One row: longest run of one sign and number of sign switches along the blocks. A zero ends a run but is not a sign to switch from."""
+    """One row: longest run of one sign and number of sign switches along the blocks. A zero (to 12 digits) ends a run but is not a sign to switch from."""
     w = Window.orderBy("block")  # blocks, not sites: a few thousand rows
-    s = blocks.select("block", F.signum(F.coalesce("d", F.lit(0.0))).alias("s"))
+    s = blocks.select("block", F.signum(F.round(F.coalesce("d", F.lit(0.0)), 12)).alias("s"))
     s = s.withColumn("new", F.when(F.col("s") == F.lag("s").over(w), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
     runs = s.where("s != 0").groupBy("run").agg(F.count("*").alias("n"))
     v = s.where("s != 0").withColumn("turn", F.when(F.col("s") != F.lag("s").over(w), 1).otherwise(0))

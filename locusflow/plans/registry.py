@@ -269,14 +269,14 @@ def label_frequencies(spark, sf):
     return rounded(dstat.label_frequencies(p.geno(spark, sf), p.labels(spark)))
 
 
-@query(ABBA + " SELECT COUNT(*) AS sites, ROUND(SUM(abba), 6) AS abba, ROUND(SUM(baba), 6) AS baba, ROUND(SUM(bbaa), 6) AS bbaa, ROUND((SUM(abba) - SUM(baba)) / (SUM(abba) + SUM(baba)), 6) AS d FROM s")
+@query(ABBA + " SELECT COUNT(*) AS sites, ROUND(SUM(abba), 10) AS abba, ROUND(SUM(baba), 10) AS baba, ROUND(SUM(bbaa), 10) AS bbaa, ROUND((SUM(abba) - SUM(baba)) / (SUM(abba) + SUM(baba)), 10) AS d FROM s")
 def abba_baba(spark, sf):
-    return rounded(dstat.d_statistic(patterns(spark, sf)))
+    return rounded(dstat.d_statistic(patterns(spark, sf)), 10)  # sums of dyadic fractions: at 6 digits they can end in a tie
 
 
-@query(ABBA + " SELECT block, sites, ROUND(abba, 6) AS abba, ROUND(baba, 6) AS baba, ROUND(bbaa, 6) AS bbaa, ROUND(d, 6) AS d FROM k")
+@query(ABBA + " SELECT block, sites, ROUND(abba, 10) AS abba, ROUND(baba, 10) AS baba, ROUND(bbaa, 10) AS bbaa, ROUND(d, 10) AS d FROM k")
 def abba_baba_blocks(spark, sf):
-    return rounded(blocks(spark, sf))
+    return rounded(blocks(spark, sf), 10)  # sums of dyadic fractions: at 6 digits they can end in a tie
 
 
 @query(ABBA + """
@@ -299,7 +299,7 @@ def dstat_bootstrap(spark, sf):
 
 
 @query(ABBA + """
-    , v AS (SELECT block, sign(COALESCE(d, 0)) AS s FROM k), u AS (SELECT *, CASE WHEN s = lag(s) OVER (ORDER BY block) THEN 0 ELSE 1 END AS new FROM v),
+    , v AS (SELECT block, sign(ROUND(COALESCE(d, 0), 12)) AS s FROM k), u AS (SELECT *, CASE WHEN s = lag(s) OVER (ORDER BY block) THEN 0 ELSE 1 END AS new FROM v),
     x AS (SELECT *, SUM(new) OVER (ORDER BY block) AS run FROM u), y AS (SELECT *, lag(s) OVER (ORDER BY block) AS b FROM v WHERE s <> 0)
     SELECT COALESCE((SELECT MAX(n) FROM (SELECT COUNT(*) AS n FROM x WHERE s <> 0 GROUP BY run)), 0) AS longest, (SELECT COUNT(*) FROM y WHERE s <> b) AS switches""")
 def block_sign_runs(spark, sf):
@@ -442,7 +442,7 @@ def point_in_interval(spark, sf):
 
 # ---- paralogs
 
-PM = p.PARALOG + """,
+PARALOG_METRICS = p.PARALOG + """,
     z AS (SELECT sample, AVG(ln(1 + dp)) AS m, COALESCE(stddev_samp(ln(1 + dp)), 1) AS s FROM ps GROUP BY 1),
     q AS (SELECT ps.*, (ln(1 + dp) - m) / GREATEST(s, 1e-12) AS dp_z, CASE WHEN dp > 0 THEN len(list_filter(ad, lambda x: x >= 3)) ELSE 0 END AS n_alleles, CASE WHEN dp > 0 THEN ad[2] / dp ELSE 0.0 END AS second, CASE WHEN dp > 0 THEN ad[3] / dp ELSE 0.0 END AS third FROM ps JOIN z USING (sample)),
     lm AS (SELECT sample, rid, COUNT(*) AS n_sites, MAX(dp) AS max_dp, MAX(abs(dp_z)) AS max_z, AVG(CASE WHEN het THEN 1 ELSE 0 END) AS het, COUNT(*) FILTER (WHERE third > 0.15) AS n_third, MAX(n_alleles) AS n_alleles FROM q GROUP BY 1, 2),
@@ -459,7 +459,7 @@ def calls(spark, sf):
     return metrics(spark, sf).select("sample", "rid", F.lit(True).alias("has_data"), F.col("pass").alias("good"))
 
 
-@query(f"WITH {PM} SELECT sample, rid, n_sites, max_dp, ROUND(max_z, 6) AS max_z, ROUND(het, 6) AS het, n_third, CAST(n_alleles AS BIGINT) AS n_alleles, fail_depth, fail_third, fail_het, fail_alleles, NOT (fail_depth OR fail_third OR fail_het OR fail_alleles) AS pass FROM lp")
+@query(f"WITH {PARALOG_METRICS} SELECT sample, rid, n_sites, max_dp, ROUND(max_z, 6) AS max_z, ROUND(het, 6) AS het, n_third, CAST(n_alleles AS BIGINT) AS n_alleles, fail_depth, fail_third, fail_het, fail_alleles, NOT (fail_depth OR fail_third OR fail_het OR fail_alleles) AS pass FROM lp")
 def paralog_locus_metrics(spark, sf):
     return rounded(metrics(spark, sf))
 
@@ -467,12 +467,12 @@ def paralog_locus_metrics(spark, sf):
 REDUCE = "SELECT rid, COUNT(*) FILTER (WHERE has_data) AS n_data, COUNT(*) FILTER (WHERE has_data AND good) AS n_good, COUNT(*) FILTER (WHERE has_data AND NOT good) AS n_fail, COALESCE(COUNT(*) FILTER (WHERE has_data AND NOT good) / NULLIF(COUNT(*) FILTER (WHERE has_data), 0), 0) AS fail_fraction FROM calls"
 
 
-@query(f"WITH {PM}, r AS ({REDUCE} GROUP BY rid) SELECT rid, n_data, n_good, n_fail, ROUND(fail_fraction, 6) AS fail_fraction, n_data >= 3 AND fail_fraction <= 0.9 AS keep FROM r")
+@query(f"WITH {PARALOG_METRICS}, r AS ({REDUCE} GROUP BY rid) SELECT rid, n_data, n_good, n_fail, ROUND(fail_fraction, 6) AS fail_fraction, n_data >= 3 AND fail_fraction <= 0.9 AS keep FROM r")
 def paralog_cross_sample(spark, sf):
     return rounded(paralogs.across_samples(calls(spark, sf), 0.9, 3))
 
 
-@query(f"""WITH {PM}, a AS ({REDUCE} WHERE sample % 2 = 0 AND rid % 7 <> 0 GROUP BY rid), b AS ({REDUCE} WHERE sample % 2 = 1 AND rid % 5 <> 0 GROUP BY rid)
+@query(f"""WITH {PARALOG_METRICS}, a AS ({REDUCE} WHERE sample % 2 = 0 AND rid % 7 <> 0 GROUP BY rid), b AS ({REDUCE} WHERE sample % 2 = 1 AND rid % 5 <> 0 GROUP BY rid)
     SELECT COALESCE(a.rid, b.rid) AS rid, COALESCE(a.n_data, 0) AS rad_data, COALESCE(a.n_fail, 0) AS rad_fail, COALESCE(b.n_data, 0) AS wgs_data, COALESCE(b.n_fail, 0) AS wgs_fail,
            COALESCE(a.n_data >= 1 AND a.fail_fraction <= 0.9, true) AND COALESCE(b.n_data >= 1 AND b.fail_fraction <= 0.9, true) AS keep FROM a FULL JOIN b ON a.rid = b.rid""")
 def paralog_rad_wgs(spark, sf):
@@ -723,3 +723,6 @@ def stream_demux(spark, sf):
     from locusflow.streaming.demux import demux_once
 
     return demux_once(p.reads(spark, sf), reads.expand_barcodes(barcodes(spark)), ["T", "CA"])
+
+
+from locusflow.plans import more  # noqa: E402,F401  registers further queries
