@@ -113,7 +113,6 @@ def leaf_blocks(page: str) -> list[Block]:
 
 
 _STOP = re.compile(r"[.!?…。][\"'»”)]*$")
-_SIGN = re.compile(r"[©®]|\b(?:cookies?|copyright|subscribe|advert\w*|sponsored|comments?|repl(?:y|ies)|share|log ?in|sign ?(?:in|up)|privacy|newsletter|all rights)\b", re.I)
 
 
 def path_features(path: tuple[str, ...]) -> list[str]:
@@ -130,7 +129,6 @@ def text_features(b: Block) -> list[str]:
         "t:link%d" % (0 if share < 0.1 else 1 if share < 0.6 else 2),
         "t:stop" if _STOP.search(b.text) else "t:nostop",
         "t:commas%d" % min(2, b.text.count(",")),
-        *(["t:sign"] if size < 300 and _SIGN.search(b.text) else []),
     ]
 
 
