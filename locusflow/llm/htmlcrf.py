@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -24,10 +25,12 @@ from locusflow.session import prepare
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|select)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
+    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|select)\b(?:\"[^\"]*\"|'[^']*'|[^>\"']++)*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"']++)*+)>"
+    r"|<(?P<cut>/?[a-zA-Z][^>]*+>?)",  # a quote or the tag is never closed: it ends at the next > or with the page, so no text is scanned again from every tag
     re.S | re.I,
 )
+_CUT = re.compile(r"/?(?P<tag>[a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[a-z]+")
 #: Fixed values of HTML: elements that bound a block, and elements without content.
@@ -40,7 +43,7 @@ _HOLD = frozenset("ul ol table dl".split())
 
 @dataclass
 class Block:
-    path: tuple[str, ...]  # a description of each open block element, outermost first
+    path: tuple[frozenset[str], str]  # words of all open block elements, and of the innermost; shared between blocks, whatever the depth
     text: str
     linked: int  # characters inside links
 
@@ -60,7 +63,8 @@ def _describe(tag: str, attrs: str) -> str:
 def leaf_blocks(page: str) -> list[Block]:
     """Leaf blocks with text, in page order: references decoded, white space made single spaces, trimmed. Comments, scripts, styles and form texts are no text."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str, frozenset[str]]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked, in_link = 0, 0
 
@@ -69,10 +73,14 @@ def leaf_blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple(d for _, d in stack), text, min(linked, len(text))))
+                out.append(Block((stack[-1][2], stack[-1][1]) if stack else (frozenset(), ""), text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
+    def close(i: int):
+        opened.subtract(t for t, _, _ in stack[i:])
+        del stack[i:]
+
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -81,31 +89,33 @@ def leaf_blocks(page: str) -> list[Block]:
             if in_link:
                 linked += len(piece)
         at = m.end()
-        tag = m["tag"]
+        tag, ends, attrs = m["tag"], m["end"], m["attrs"]
+        if m["cut"] and m["cut"].endswith(">"):
+            tag, ends, attrs = _CUT.match(m["cut"])["tag"], m["cut"].startswith("/"), ""
         if tag is None:
             continue
         tag = tag.lower()
         if tag == "a":
-            in_link = 0 if m["end"] else 1
+            in_link = 0 if ends else 1
         elif tag == "br":
             parts.append(" ")
         elif tag in BLOCKS:
             flush()
-            if m["end"]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        in_link = 0
-                        break
+            if ends:
+                if opened[tag] > 0:
+                    close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
+                    in_link = 0
             else:
                 closes = CLOSES.get(tag, ())
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in closes:
-                        del stack[i:]
+                        close(i)
                     elif stack[i][0] != "p":
                         break
                 if tag not in VOID:
-                    stack.append((tag, _describe(tag, m["attrs"])))
+                    own, held = _describe(tag, attrs), stack[-1][2] if stack else frozenset()
+                    stack.append((tag, own, held if held.issuperset(own.split()) else held.union(own.split())))
+                    opened[tag] += 1
     if at < len(page):
         parts.append(page[at:])
     flush()
@@ -115,10 +125,10 @@ def leaf_blocks(page: str) -> list[Block]:
 _STOP = re.compile(r"[.!?…。][\"'»”)]*$")
 
 
-def path_features(path: tuple[str, ...]) -> list[str]:
+def path_features(path: tuple[frozenset[str], str]) -> list[str]:
     """Ancestor tags and class words, the parent's once more."""
-    words = {w for d in path for w in d.split()}
-    return sorted({f"a:{w}" for w in words} | ({f"p:{w}" for w in path[-1].split()} if path else {"p:none"}))
+    words, parent = path
+    return sorted({f"a:{w}" for w in words} | ({f"p:{w}" for w in parent.split()} or {"p:none"}))
 
 
 def text_features(b: Block) -> list[str]:
