@@ -159,8 +159,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn, positives: int = POSITIVES, u
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             return pa.record_batch({"h": b.column("h"), "f": pa.array([text_features(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())})
 
-        got = arrow_map(one.select("h", "text"), f, "h long, f binary").toArrow()
-        rows = sorted(zip(got["h"].to_pylist(), got["f"].to_pylist(), strict=True))[:n]
+        # the limit holds the bound where one id (or null) has very many texts, which share its hash
+        got = arrow_map(one.select("h", "text"), f, "h long, f binary").orderBy("h").limit(n).toArrow()
+        rows = zip(got["h"].to_pylist(), got["f"].to_pylist(), strict=True)
         return [np.frombuffer(x, np.uint32) for _, x in rows]
 
     return train(take(known, positives), take(rest, unlabelled), prior)
