@@ -53,7 +53,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids by streaming Viterbi, and the text decoded from them; same: whether it is the text of the document again."""
+    """Ids by streaming Viterbi, and a digest of the text decoded from them, which is the document's again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     coded = spviterbi.encode(docs)
     return spviterbi.decode(coded).select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"), F.length("text").cast("long").alias("decoded_chars"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from locusflow.session import prepare
+from locusflow.session import cut, prepare
 
 K, DIM_BLOCK, CHUNK, QUERY_CHUNK = 20, 16, 1024, 256
 #: Vectors of one side that meet in one task: the shuffle holds pairs * (1/QUERY_GROUP + 1/CAND_GROUP) rows.
@@ -113,14 +113,15 @@ def topk_search(vectors: DataFrame, query: Column, k: int = K, query_group: int
     ``vectors``: (vec_id long, q array<bigint>); ``query``: which rows are queries. Returns query_id, rank, vec_id, score.
     Rows with a null id or vector take no part; vectors of different length never meet; a candidate with the query's own
     id is the query's own row; repeated rows with equal id and vector count once. An empty table gives no rows. Candidates and queries are
-    dealt by a hash of the id into groups of bounded size, each pair of groups is one independent task, and only
+    dealt by a hash of id and vector into groups of bounded size, each pair of groups is one independent task, and only
     ``k`` rows a query and group go on to the final ranking.
     """
     prepare(vectors.sparkSession)
     v = vectors.where("vec_id is not null and q is not null").select("vec_id", "q", F.size("q").alias("dim"), query.alias("is_query"))
+    v = cut(v.distinct())  # repeated rows fall together before they are dealt
     n, m = v.agg(F.count("*"), F.count_if(F.col("is_query"))).first()
     cg, qg = max(1, math.ceil(n / cand_group)), max(1, math.ceil(m / query_group))
-    deal = lambda g: F.pmod(F.xxhash64("vec_id"), F.lit(g))
+    deal = lambda g: F.pmod(F.xxhash64("vec_id", "q"), F.lit(g))
     every = lambda g: F.explode(F.sequence(F.lit(0), F.lit(g - 1)))
     cand = v.select("dim", deal(cg).cast("int").alias("cg"), every(qg).alias("qg"), "vec_id", "q")
     quer = v.where("is_query").select("dim", every(cg).alias("cg"), deal(qg).cast("int").alias("qg"), "vec_id", "q")
@@ -133,8 +134,7 @@ def topk_search(vectors: DataFrame, query: Column, k: int = K, query_group: int
             flat = flat.flatten().to_numpy(zero_copy_only=False) if t.num_rows else np.empty(0, np.int64)
             dim = key[0].as_py()
             mat = flat.reshape(len(ids), dim)
-            pair = np.unique(np.column_stack([ids, mat]), axis=0) if len(ids) != len(np.unique(ids)) else np.column_stack([ids, mat])
-            sides.append((pair[:, 0], pair[:, 1:]))
+            sides.append((ids, mat))
         qid, cid, s = branch_and_bound(*sides[1], *sides[0], k)
         return pa.table({"query_id": pa.array(qid, pa.int64()), "vec_id": pa.array(cid, pa.int64()), "score": pa.array(s, pa.int64())})
 
