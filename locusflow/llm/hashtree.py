@@ -70,14 +70,15 @@ def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
     """key, size, text_crc32, law, shard, slot, grown_shard of every row under the law ``key``.
 
     Size is the UTF-8 length plus one; a null text has none, so its size is 1. Slots number the rows of a shard from 0 without a gap,
-    by part and key: parts (a hash of the key) are numbered in separate tasks and shifted by the rows of the parts before them.
+    by part and key: parts (a hash of the key, size and crc32, so that a key of many rows is spread) are numbered in separate tasks and shifted by the rows of the parts before them.
     Repeated rows get slots of their own. Equal texts of different keys lie where their keys say. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     k = F.col(key)
-    part = F.pmod(F.xxhash64(F.coalesce(k.cast("string"), F.lit("")), F.lit("part")), F.lit(PARTS)).cast("int")
-    rows = docs.select(k, (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), place(k, topology(shards)).cast("int").alias("shard"), part.alias("part"), place(k, topology(shards + 1)).cast("int").alias("grown_shard"))
+    size, crc = (F.octet_length(raw) + 1).cast("long"), F.crc32(raw)
+    part = F.pmod(F.xxhash64(k, size, crc), F.lit(PARTS)).cast("int")
+    rows = docs.select(k, size.alias("size"), crc.alias("text_crc32"), place(k, topology(shards)).cast("int").alias("shard"), part.alias("part"), place(k, topology(shards + 1)).cast("int").alias("grown_shard"))
     per = rows.select("shard", "part").groupBy("shard", "part").agg(F.count("*").alias("n"))  # at most shards * PARTS rows, whatever the input
     before = per.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
     w = Window.partitionBy("shard", "part").orderBy(key, "size", "text_crc32")

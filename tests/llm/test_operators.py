@@ -1,5 +1,6 @@
 import random
 import struct
+import time
 import zlib
 from itertools import combinations
 
@@ -364,6 +365,17 @@ def test_chain_on_unseen_layouts():
     assert right / total > 0.97
 
 
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<p '>x", "<script ", "</p", "<p>a", "<div>a", "<!--", "<div><p>a</p>"])
+def test_pages_of_open_tags_take_linear_time(unit):
+    began = time.process_time()
+    htmlcrf.main_text(unit * 20000, htmlcrf.default_chain())
+    assert time.process_time() - began < 30
+
+
+def test_tag_with_an_open_quote_ends_at_its_bracket():
+    assert [b.text for b in htmlcrf.leaf_blocks('<p>one</p><p title="x>two</p><div>three</div>')] == ["one", "two", "three"]
+
+
 def test_extraction_edges(spark):
     body = "Some words of the story, and then more. It goes on here, at length &amp; ends."
     pages = [
@@ -403,6 +415,13 @@ def test_sharding(spark):
     assert hashtree.assign(docs(spark, [])).count() == 0
 
 
+def test_rows_of_one_key_are_numbered_in_many_parts(spark):
+    got = hashtree.assign(docs(spark, [(None, f"text {i}") for i in range(300)] + [(7, "same")] * 40)).select("doc_id", "shard", "slot").collect()
+    for shard in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+    assert len({r.shard for r in got if r.doc_id is None}) == 1 and len(got) == 340
+
+
 def test_weights_move_rows_only_through_their_subtrees(spark):
     ids = spark.range(4000)
     a, b = hashtree.topology(16), hashtree.topology(16, {5: 3.0})
