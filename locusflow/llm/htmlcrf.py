@@ -78,8 +78,8 @@ def leaf_blocks(page: str) -> list[Block]:
         linked = 0
 
     def close(i: int):
-        opened.subtract(t for t, _, _ in stack[i:])
-        del stack[i:]
+        while len(stack) > i:
+            opened[stack.pop()[0]] -= 1
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -114,7 +114,8 @@ def leaf_blocks(page: str) -> list[Block]:
                         break
                 if tag not in VOID:
                     own, held = _describe(tag, attrs), stack[-1][2] if stack else frozenset()
-                    stack.append((tag, own, held if held.issuperset(own.split()) else held.union(own.split())))
+                    words = own.split()
+                    stack.append((tag, own, held if held.issuperset(words) else held.union(words)))
                     opened[tag] += 1
     if at < len(page):
         parts.append(page[at:])
