@@ -725,4 +725,4 @@ def stream_demux(spark, sf):
     return demux_once(p.reads(spark, sf), reads.expand_barcodes(barcodes(spark)), ["T", "CA"])
 
 
-from locusflow.plans import more  # noqa: E402,F401  registers further queries
+from locusflow.plans import more, summaries  # noqa: E402,F401  register further queries

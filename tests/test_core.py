@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from locusflow.functions import genotypes as fg
 from locusflow.functions import trees
-from locusflow.operators import dstat, graph, intervals, numeric, paralogs, popgen, reads, samstats, sequences, snps
+from locusflow.operators import denovo, dstat, graph, intervals, numeric, paralogs, popgen, reads, samstats, sequences, snps
 from locusflow.operators.components import connected_components
 from locusflow.plans import analyses, external
-from locusflow.sources import sinks, text
+from locusflow.sources import results, sinks, text
+from locusflow.sources.text import FormatError
 
 
 def rows(df, *order):
@@ -264,3 +265,33 @@ def test_entry_points(spark):
         external.run("trim")
     with pytest.raises(text.FormatError):
         analyses.snpex(g, spark.range(8).withColumnRenamed("id", "sample"), min_depth=3)
+
+
+def test_results_of_other_programs(spark, tmp_path):
+    good = '{"summary": {"before_filtering": {"total_reads": 10, "total_bases": 900},\n "after_filtering": {"total_reads": 8, "total_bases": 700}}, "filtering_result": {"low_quality_reads": 2}}'
+    (tmp_path / "a.json").write_text(good)
+    (tmp_path / "bad.json").write_text('{"summary": 3')
+    r = results.trim_reports(spark, str(tmp_path / "a.json")).first()
+    assert (r.reads_before, r.reads_after, r.bases_after, r.low_quality_reads, r.too_short_reads) == (10, 8, 700, 2, None)
+    with pytest.raises(FormatError):
+        results.trim_reports(spark, str(tmp_path / "bad.json"))
+    (tmp_path / "m.bim").write_text("1\trs1\t0\t5\tA\tG\n2\trs2\t0\t9\tC\tT\n")
+    assert [(m.marker, m.pos) for m in results.markers(spark, str(tmp_path / "m.bim")).collect()] == [("rs1", 5), ("rs2", 9)]
+    (tmp_path / "x.Q").write_text("0.25 0.75\n1 0\n")
+    assert sorted(tuple(m) for m in results.membership(spark, str(tmp_path / "x.Q")).collect()) == [(0, 0, 0.25), (0, 1, 0.75), (1, 0, 1.0), (1, 1, 0.0)]
+    (tmp_path / "y.Q").write_text("0.25 0.75\n1\n")
+    with pytest.raises(FormatError):
+        results.membership(spark, str(tmp_path / "y.Q"))
+
+
+def test_species_tree_inputs(spark):
+    seqs = spark.createDataFrame([(1, "b", "AC"), (1, "a", "AN"), (2, "a", "GGT"), (2, "z", "GGT")], "locus long, sample string, seq string")
+    imap = spark.createDataFrame([("a", "p"), ("b", "q")], "sample string, pop string")
+    blocks, names = results.species_tree_lines(seqs, imap)
+    assert [b.value for b in blocks.orderBy("line").collect()] == ["2 2\np^a  AN\nq^b  AC\n", "1 3\np^a  GGT\n"]
+    assert [n.value for n in names.orderBy("line").collect()] == ["a p", "b q"]
+    assert "species&tree = 2 p q" in results.species_tree_control({"p": 1, "q": 1}, "(p,q);", 2, denovo.gamma_prior(0.001, 0.003), (2, 100))
+    assert denovo.gamma_prior(0, 4) == (4.0, 2.0)
+    draws = spark.createDataFrame([(0.02, 0.008, 2e-3, 2.0)], "tau_1 double, theta_1 double, mu double, gen double")
+    r = denovo.scaled_posterior(draws, ["tau_1", "theta_1"]).first()
+    assert (round(r.tau_1, 9), round(r.theta_1, 9)) == (20.0, 1.0)
