@@ -25,18 +25,24 @@ from locusflow.session import cut, prepare
 RADIUS, WORDS, SEED, TILE, EDGE = 2, 3, 42, 8192, 1024
 
 
-def fingerprint(raw: bytes, words: int = WORDS) -> int:
-    """64-bit SimHash of a text's word shingles; 0 without a word."""
+def hashes(raw: bytes, words: int = WORDS) -> np.ndarray:
+    """64-bit hash of each word shingle of a text; a shorter text is one shingle, and without a word there is none."""
     tokens = raw.lower().split()  # bytes: A-Z only, and white space is \x20 and \x09-\x0D only
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     n = max(1, len(tokens) - words + 1)
     spans = zip(starts[:n].tolist(), ends[min(words, len(tokens)) - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def fingerprint(raw: bytes, words: int = WORDS) -> int:
+    """64-bit SimHash of a text's word shingles; 0 without a word."""
+    h = hashes(raw, words)
+    n = len(h)
     ones = np.zeros(64, np.int64)
     for i in range(0, n, 1 << 16):
         ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
