@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusflow.operators.components import connected_components
+from locusflow.session import cut
 
 #: A component with more nodes than this many times the samples is split at a similarity threshold before the exact split.
 OVERSIZE = 10
@@ -82,13 +83,54 @@ def presplit(members: DataFrame, edges: DataFrame, n_samples: int, thresholds: t
     return done
 
 
+def lowest_presplit(members: DataFrame, edges: DataFrame, n_samples: int) -> DataFrame:
+    """members with each component over the size cap split at the lowest of its own pids at which every part fits under the cap.
+
+    Parts only get finer as the pid rises, so that pid also has the best score of the reference (most nodes in parts of two or
+    more, then fewest parts, fewest single nodes, lowest pid). It is found by bisection over the distinct pids of all such
+    components at once, one pass of connected components a step. Where no pid fits, or the component is of one sample, a
+    placeholder stays: of each sample the best node (``representatives``; the smallest without ``n_reads`` and ``length``).
+    """
+    cap = OVERSIZE * n_samples
+    big = cut(members.groupBy("component").agg(F.count("*").alias("n"), F.count_distinct("sample").alias("s")).where(F.col("n") > cap))
+    if big.isEmpty():
+        return members
+    left = cut(members.join(big.select("component"), "component", "left_semi"))
+    node = left.select("node", "component")
+    own = edges.join(node.withColumnsRenamed({"node": "src"}), "src").join(node.withColumnsRenamed({"node": "dst", "component": "_c"}), "dst").where("component = _c").select("component", "src", "dst", "pid")
+    pids = own.select("component", "pid").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("component").orderBy("pid")))
+    own = cut(own.join(pids, ["component", "pid"]).select("component", "src", "dst", "rank"))
+    last = own.groupBy("component").agg(F.max("rank").alias("last"))
+    # the answer lies from lo to hi; last + 1 stands for none
+    found = cut(big.where("s > 1").join(last, "component").select("component", "last", F.lit(1).alias("lo"), (F.col("last") + 1).alias("hi")))
+
+    def parts(at: DataFrame) -> DataFrame:
+        """left's rows of the components in ``at`` (component, rank), with the part that edges from that rank on make."""
+        e = own.join(at.select("component", F.col("rank").alias("_r")), "component").where("rank >= _r")
+        c = connected_components(e.select("src", "dst")).withColumnRenamed("component", "_part")
+        return left.join(at.select("component"), "component", "left_semi").join(c, "node", "left").withColumn("_part", F.coalesce("_part", "node"))
+
+    while not (todo := found.where("lo < hi")).isEmpty():
+        at = cut(todo.select("component", F.expr("(lo + hi) div 2").cast("int").alias("rank")))
+        most = parts(at).groupBy("component", "_part").agg(F.count("*").alias("n")).groupBy("component").agg(F.max("n").alias("most"))
+        step = at.join(most, "component").select("component", "rank", (F.col("most") <= cap).alias("fits"))
+        moved = found.join(step, "component", "left")
+        found = cut(moved.select("component", "last", F.expr("if(fits is null or fits, lo, rank + 1)").alias("lo"), F.expr("if(fits, rank, hi)").alias("hi")))
+    fits = cut(found.where("lo <= last").select("component", F.col("lo").alias("rank")))
+    cut_up = parts(fits).withColumn("component", F.col("_part")).select(*members.columns)
+    over = left.join(fits, "component", "left_anti")
+    best = representatives(over) if {"n_reads", "length"} <= set(members.columns) else over.groupBy("component", "sample").agg(F.min("node").alias("node"))
+    placeholder = over.join(best, ["component", "sample", "node"], "left_semi").select(*members.columns)
+    return members.join(big.select("component"), "component", "left_anti").select(*members.columns).unionByName(cut_up).unionByName(placeholder)
+
+
 def split_components(members: DataFrame, edges: DataFrame, n_samples: int) -> DataFrame:
     """component, node, sample, part: each component cut so that no part has a sample twice, strongest edges first (constrained Kruskal).
 
-    Components without a repeated sample pass unchanged and never reach Python; the others, bounded by the size cap, are split one group
+    Components over the size cap are split by ``lowest_presplit`` first. Components without a repeated sample pass unchanged and never reach Python; the others, bounded by the size cap, are split one group
     at a time. Order of work inside a component is fixed, so the result does not depend on partitioning.
     """
-    m = presplit(members, edges, n_samples)
+    m = cut(lowest_presplit(members, edges, n_samples))
     dup = duplicate_samples(m).where("duplicated").select("component")
     clean = m.join(dup, "component", "left_anti").withColumn("part", F.col("component"))
     work = m.join(dup, "component", "left_semi")
@@ -101,8 +143,8 @@ def split_components(members: DataFrame, edges: DataFrame, n_samples: int) -> Da
         return n.assign(part=n["node"].map(part))
 
     schema = f"component {kinds['component']}, node {kinds['node']}, sample {kinds['sample']}, part {kinds['node']}"
-    cut = work.select("component", "node", "sample").groupBy("component").cogroup(e.groupBy("component")).applyInPandas(split, schema)
-    return clean.select("component", "node", "sample", "part").unionByName(cut)
+    split_up = work.select("component", "node", "sample").groupBy("component").cogroup(e.groupBy("component")).applyInPandas(split, schema)
+    return clean.select("component", "node", "sample", "part").unionByName(split_up)
 
 
 def representatives(members: DataFrame) -> DataFrame:
