@@ -155,10 +155,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` for whose text a language is found, all columns as they are. No shuffle."""
+    """The rows of ``docs`` for whose text a language is found, all columns as they are; where nothing could be learned, all with a letter. No shuffle."""
     sent = prepare(docs.sparkSession).sparkContext.broadcast(model)
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
-        return b.filter(pa.array([sent.value.predict(t)[0] != UNKNOWN for t in b.column(text).to_pylist()], pa.bool_()))
+        found = lambda t: sent.value.predict(t)[0] != UNKNOWN if sent.value.families else bool(t and _LETTER.search(t))
+        return b.filter(pa.array([found(t) for t in b.column(text).to_pylist()], pa.bool_()))
 
     return arrow_map(docs, f, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
