@@ -1,7 +1,7 @@
 """Sharding by a hierarchical weighted hash tree.
 
 A row descends from the root through region and rack to its shard. At each level every child draws ln(u) / weight,
-where u is a hash of the row's key and the child's name, and the highest draw wins, so a child's share follows its
+where u comes from the MD5 digest of the row's key and the child's name, and the highest draw wins, so a child's share follows its
 weight. Only draws of children whose weight changes change: rows move only into or out of those subtrees. A shard that is
 added comes as a new region of its own, so rows only move into it.
 """
@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from locusflow.session import prepare
+from locusflow.session import cut, prepare
 
 SHARDS, RACK, REGION = 16, 4, 2
-#: Parts of each shard that are numbered on their own.
-PARTS = 256
+#: Parts of each shard that are numbered on their own: at least and at most so many, between them one for so many rows.
+PARTS, MOST, ROWS = 16, 65536, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -54,11 +54,16 @@ def place(key: Column, node: Node) -> Column:
     if len(live) == 1:
         return place(key, live[0])
     text = F.coalesce(key.cast("string"), F.lit(""))
-    draw = lambda c: F.ln((F.shiftrightunsigned(F.xxhash64(text, F.lit(c.name)), 11).cast("double") + 0.5) / F.lit(2.0**53)) / F.lit(float(c.weight))
+    draw = lambda c: F.ln((digits(F.concat(text, F.lit(f"|{c.name}")), 13).cast("double") + 0.5) / F.lit(2.0**52)) / F.lit(float(c.weight))
     won = F.array_max(F.array(*[F.struct(draw(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(live)]))["i"]
     return _choose(won, [place(key, c) for c in live])
 
 
+def digits(text: Column, n: int) -> Column:
+    """The first ``n`` hexadecimal digits of a text's MD5 digest, as a long."""
+    return F.conv(F.substring(F.md5(text), 1, n), 16, 10).cast("long")
+
+
 def _choose(won: Column, of: list[Column]) -> Column:
     out = F.when(won == 0, of[0])
     for i, c in enumerate(of[1:], 1):
@@ -76,10 +81,12 @@ def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
     prepare(docs.sparkSession)
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     k = F.col(key)
-    size, crc = (F.octet_length(raw) + 1).cast("long"), F.crc32(raw)
-    part = F.pmod(F.xxhash64(k, size, crc), F.lit(PARTS)).cast("int")
-    rows = docs.select(k, size.alias("size"), crc.alias("text_crc32"), place(k, topology(shards)).cast("int").alias("shard"), part.alias("part"), place(k, topology(shards + 1)).cast("int").alias("grown_shard"))
-    per = rows.select("shard", "part").groupBy("shard", "part").agg(F.count("*").alias("n"))  # at most shards * PARTS rows, whatever the input
+    rows = docs.select(k, (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), place(k, topology(shards)).cast("int").alias("shard"), place(k, topology(shards + 1)).cast("int").alias("grown_shard"))
+    rows = cut(rows)  # without the texts, which are read once
+    parts = min(MOST, max(PARTS, -(-rows.count() // (shards * ROWS))))
+    part = (digits(F.concat_ws("|", F.coalesce(k.cast("string"), F.lit("")), "size", "text_crc32"), 8) % parts).cast("int")
+    rows = rows.withColumn("part", part)
+    per = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))  # at most shards * MOST rows, whatever the input
     before = per.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
     w = Window.partitionBy("shard", "part").orderBy(key, "size", "text_crc32")
     numbered = rows.withColumn("at", F.row_number().over(w) - 1)

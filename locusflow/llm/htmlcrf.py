@@ -25,7 +25,7 @@ from locusflow.session import prepare
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|select)\b(?:\"[^\"]*\"|'[^']*'|[^>\"']++)*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea)\b(?:\"[^\"]*\"|'[^']*'|[^>\"']++)*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"']++)*+)>"
     r"|<(?P<cut>/?[a-zA-Z][^>]*+>?)",  # a quote or the tag is never closed: it ends at the next > or with the page, so no text is scanned again from every tag
     re.S | re.I,
@@ -34,11 +34,12 @@ _CUT = re.compile(r"/?(?P<tag>[a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[a-z]+")
 #: Fixed values of HTML: elements that bound a block, and elements without content.
-BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol optgroup option p pre section select summary svg table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Start tags that end an open element of the second group.
-CLOSES = {t: frozenset(["p"]) for t in BLOCKS - {"button", "option"}} | {"li": frozenset(["p", "li"]), "td": frozenset(["p", "td", "th"]), "th": frozenset(["p", "td", "th"]), "tr": frozenset(["p", "td", "th", "tr"]), "dd": frozenset(["p", "dd", "dt"]), "dt": frozenset(["p", "dd", "dt"]), "option": frozenset(["option"])}
-_HOLD = frozenset("ul ol table dl".split())
+CLOSES = {t: frozenset("p option optgroup select svg iframe".split()) for t in BLOCKS - {"button", "option", "optgroup", "title", "svg", "iframe"}} | {"option": frozenset(["option"]), "optgroup": frozenset(["option", "optgroup"])}
+for _tag, _more in {"li": "li", "td": "td th", "th": "td th", "tr": "td th tr", "dd": "dd dt", "dt": "dd dt"}.items():
+    CLOSES[_tag] |= frozenset(_more.split())
 
 
 @dataclass
@@ -61,7 +62,7 @@ def _describe(tag: str, attrs: str) -> str:
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """Leaf blocks with text, in page order: references decoded, white space made single spaces, trimmed. Comments, scripts, styles and form texts are no text."""
+    """Leaf blocks with text, in page order: references decoded, white space made single spaces, trimmed. Comments, scripts, styles and text areas are no text; every other element's text is a block's, closed or not."""
     out: list[Block] = []
     stack: list[tuple[str, str, frozenset[str]]] = []
     opened: Counter[str] = Counter()
@@ -187,6 +188,13 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
             link = f'<a href="/{word()}">{words(1, 3)}</a>'
             if kind == "menu":
                 leaf("li", link, 0)
+            elif kind == "form" and rng.random() < 0.3:
+                page.append("<select>")
+                for _ in range(rng.randint(1, 3)):
+                    leaf("option", words(1, 2), 0)
+                page.append("</select>")
+            elif kind in ("notice", "ad", "side") and rng.random() < 0.1:
+                control()
             elif kind in ("comments", "notice", "ad", "side"):
                 leaf(rng.choice(["p", "div", "p"]), rng.choice([prose(1, 3), prose(1, 3), link, words(1, 6)]), 0)
             else:
@@ -200,6 +208,11 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
         page.append(opened + rng.choice([words(1, 8), prose(1, 3)]) + _end(opened))
         labels.append(0)
 
+    def control():  # a picture's name, a frame's substitute or a choice
+        opened = rng.choice(['<svg><title>', '<iframe src="#">', "<select><option>"])
+        page.append(opened + words(1, 6) + _end(opened))
+        labels.append(0)
+
     busy = rng.random() < 0.85  # else a bare page: nothing but the story
     if busy or rng.random() < 0.3:
         page.append(f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><script>var a='</p>';</script></head><body>")
@@ -232,6 +245,8 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
             for _ in range(rng.randint(1, 4)):
                 leaf("td", words(1, 5), 1)
             page.append("</tr></table>")
+        elif rng.random() < 0.4:
+            control()
         elif rng.random() < 0.6:
             (bare if rng.random() < 0.5 else rest)(rng.choice(["ad", "side", "notice", "form"]))
     if rng.random() < 0.2:
@@ -346,7 +361,8 @@ def main_text(page: str | None, chain: Chain, memo: dict | None = None) -> str:
 
 
 def extract(pages: DataFrame, chain: Chain | None = None, html_column: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every page's whole html. Null or empty html, or a page without main text, gives an empty text. No shuffle; one row per row, repeats included."""
+    """page_id, url, text, n_chars of every page's html, read whole whatever its length. Null or empty html, or a page without main text, gives an empty
+    text. Labels of equal likelihood go to the rest. One row per row, repeats included; an empty table gives none; further columns play no part. No shuffle."""
     prepare(pages.sparkSession)
     model, memo = chain or default_chain(), {}
     kinds = dict(pages.dtypes)

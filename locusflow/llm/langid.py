@@ -26,9 +26,16 @@ SAMPLE = 4000
 UNKNOWN = "und"
 #: Families by ISO 639-1 code; a language that is not listed is a family of its own.
 FAMILIES = {"germanic": ("en", "de", "nl", "sv", "da", "no"), "romance": ("fr", "es", "it", "pt", "ro", "ca"), "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr")}
+#: Least score of a document that ``keep`` keeps.
+FLOOR = 0.45
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def lettered(text: str | None) -> bool:
+    """Whether a text has a letter; numerals such as ½, ² or Ⅻ are none."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text or ""))
+
+
 def counts(text: str) -> np.ndarray:
     """Hashed n-gram counts of a whole text, in steps of a million bytes."""
     raw = np.frombuffer(b"  " + text.lower().encode() + b" ", np.uint8)
@@ -74,7 +81,7 @@ class Model:
     pairs: dict[tuple[str, str], np.ndarray] = field(default_factory=dict)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.families or not _LETTER.search(text):
+        if not self.families or not lettered(text):
             return UNKNOWN, 0.0
         x = np.append(_unit(counts(text)), np.float32(1))
         p = np.ones(len(self.families))
@@ -137,7 +144,11 @@ def fit(docs: DataFrame, learn, sample: int = SAMPLE) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, lang_pred, score of each row's whole text; null texts and texts without a letter are ``und`` with score 0. No shuffle."""
+    """key, lang_pred, score of each row's text, read whole whatever its length; null texts and texts without a letter are ``und`` with score 0.
+
+    Ties of families go to the first, of languages to the later name. Equal texts get equal predictions, one row per row; an empty table gives
+    no rows, further columns play no part. No shuffle.
+    """
     kind = docs.schema[key].dataType.simpleString()
     sent = prepare(docs.sparkSession).sparkContext.broadcast(model)  # 16 KB a family and pair of languages
 
@@ -154,12 +165,21 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` for whose text a language is found, all columns as they are; where nothing could be learned, all with a letter. No shuffle."""
+def keep(docs: DataFrame, model: Model, languages: set[str] | None = None, floor: float = FLOOR, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose predicted language is one of ``languages`` (None: any that was learned) with a score of ``floor`` or more.
+
+    A null ``lang`` becomes the predicted language; other columns stay as they are. Texts that are null or have no letter go. Where nothing could
+    be learned there is no prediction: every text with a letter stays unchanged. Repeated rows fare alike. No shuffle.
+    """
     sent = prepare(docs.sparkSession).sparkContext.broadcast(model)
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = lambda t: sent.value.predict(t)[0] != UNKNOWN if sent.value.families else bool(t and _LETTER.search(t))
-        return b.filter(pa.array([found(t) for t in b.column(text).to_pylist()], pa.bool_()))
+        texts, learned = b.column(text).to_pylist(), bool(sent.value.families)
+        if not learned:
+            return b.filter(pa.array([lettered(t) for t in texts], pa.bool_()))
+        got = [sent.value.predict(t) for t in texts]
+        at = b.schema.get_field_index(lang)
+        b = b.set_column(at, b.schema.field(at), pa.array([k if k is not None else p for k, (p, _) in zip(b.column(at).to_pylist(), got, strict=True)], pa.string()).cast(b.schema.field(at).type))
+        return b.filter(pa.array([p != UNKNOWN and s >= floor and (languages is None or p in languages) for p, s in got], pa.bool_()))
 
     return arrow_map(docs, f, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))

@@ -110,7 +110,7 @@ class Tokens:
         if self.fast is not None and not any(s in text for s in self.special):
             try:
                 return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
-            except Exception:  # its regular-expression engine gives up on some very long runs
+            except ValueError:  # its regular-expression engine gives up on some very long runs
                 pass
         return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -128,7 +128,8 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tok
     Each row's whole text is tokenized and ``end_id`` appended; a null text is empty, so it is that id alone. Repeated rows are
     packed each. Blocks of at most 2048 documents of one input partition are packed on their own: no shuffle, bounded
     memory, and the same result when a task runs again. An empty table gives no rows. sequence_id holds the partition in
-    its upper bits; it is unique, not gapless.
+    its upper bits; it is unique, not gapless. Which documents share a sequence follows from the input's partitions and batches, and
+    step groups are balanced within such a block; pieces and ids do not depend on either.
     """
     prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()

@@ -23,6 +23,8 @@ from locusflow.operators.components import connected_components
 from locusflow.session import cut, prepare
 
 RADIUS, WORDS, SEED, TILE, EDGE = 2, 3, 42, 8192, 1024
+#: A fingerprint is hot where it has more than one of so many rows.
+HOT = 1000
 
 
 def hashes(raw: bytes, words: int = WORDS) -> np.ndarray:
@@ -180,7 +182,9 @@ def _keys(fp: Column, blocks: int, kept: int) -> list[Column]:
 
 def near_links(reps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """src, dst: links between distinct fingerprints (column fp) that connect every pair within ``radius``."""
-    blocks, kept = 4, 4 - radius  # radius 2
+    if not 0 <= radius <= 3:
+        raise ValueError("a radius from 0 to 3: a wider one leaves none of the four blocks whole")
+    blocks, kept = 4, 4 - radius
     dealt = cut(reps.select("fp", F.explode(F.array(*_keys(F.col("fp"), blocks, kept))).alias("key")))
     many = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     dealt = dealt.join(many, "key")
@@ -209,11 +213,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     key of its component, or null. An empty table gives no rows; further columns of ``df`` play no part.
     """
     fps = cut(fingerprints(df, key, text))
-    reps = cut(fps.groupBy("fp").agg(F.min(key).alias("rep")))
+    reps = cut(fps.groupBy("fp").agg(F.min(key).alias("rep"), F.count("*").alias("n")))
     found = connected_components(near_links(reps.select("fp"), radius))
     label = found.join(reps, found.node == reps.fp).select("component", "node", "rep")
     least = label.groupBy("component").agg(F.min("rep").alias("least"))
     moved = label.join(least, "component").select(F.col("node").alias("fp"), "least")
-    # written, so that the last join is of two plain shuffles, whose hot fingerprints adaptive execution splits
-    of = cut(reps.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")))
-    return fps.join(of, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = cut(reps.join(moved, "fp", "left").select("fp", "n", F.coalesce("least", "rep").alias("component_id")))
+    # fingerprints of more than a thousandth of the rows, a thousand at most, meet their rows without a shuffle; the others have no hot key
+    total = fps.count()
+    hot = F.broadcast(of.where(F.col("n") * HOT > total).drop("n"))
+    found = fps.join(hot, "fp").unionByName(fps.join(hot.select("fp"), "fp", "left_anti").join(of.where(F.col("n") * HOT <= total).drop("n"), "fp"))
+    return found.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -21,28 +21,31 @@ from locusflow.session import cut, prepare
 K, DIM_BLOCK, CHUNK, QUERY_CHUNK = 20, 16, 1024, 256
 #: Vectors of one side that meet in one task: the shuffle holds pairs * (1/QUERY_GROUP + 1/CAND_GROUP) rows.
 QUERY_GROUP, CAND_GROUP = 16384, 8192
-#: Components are clamped to this magnitude before they become integers.
-CLAMP = 2.0**40
 _FAR = np.iinfo(np.int64).max
 
 
 def quantize(c: str | Column, scale: float = 64.0) -> Column:
-    """floor(scale * x) of each component, as array<bigint>; null unless all components are finite."""
+    """floor(scale * x) of each component, as array<double>, which holds these whole numbers exactly; null unless all components are finite."""
     c = F.col(c) if isinstance(c, str) else c
     good = c.isNotNull() & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    return F.when(good, F.transform(c, lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(CLAMP)), F.lit(-CLAMP))).cast("long")))
+    # floor() gives a long, which a large double would leave; whole doubles of 2^52 and more are their own floor
+    floor = lambda y: F.when(F.abs(y) < F.lit(2.0**52), F.floor(y).cast("double")).otherwise(y)
+    return F.when(good, F.transform(c, lambda x: floor(x.cast("double") * scale)))
 
 
 def _large(qid, q, cid, c, k):
-    """Exact scores by Python integers, for components whose sums leave the 53 bits of a double; scores saturate at 64 bits."""
+    """Exact scores by Python integers, for components whose sums leave the 53 bits of a double. A score among the best that no long holds is an error."""
+    whole = lambda m: np.array([[int(x) for x in r] for r in m.tolist()], object).reshape(m.shape)
     out_q, out_c, out_s = [], [], []
-    co = c.astype(object)
-    for i, row in enumerate(q.astype(object)):
-        s = co @ row
+    co = whole(c)
+    for i, row in enumerate(whole(q)):
+        s = co @ row if co.shape[1] else np.zeros(len(co), object)
         order = sorted((-int(x), int(v)) for x, v in zip(s, cid, strict=True) if v != qid[i])[:k]
+        if any(not -(2**63) <= -x < 2**63 for x, _ in order):
+            raise OverflowError(f"a score of query {qid[i]} needs more than 64 bits")
         out_q += [qid[i]] * len(order)
         out_c += [v for _, v in order]
-        out_s += [max(-(2**63), min(2**63 - 1, -x)) for x, _ in order]
+        out_s += [-x for x, _ in order]
     return np.array(out_q, np.int64), np.array(out_c, np.int64), np.array(out_s, np.int64)
 
 
@@ -110,20 +113,21 @@ def branch_and_bound(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndar
 def topk_search(vectors: DataFrame, query: Column, k: int = K, query_group: int = QUERY_GROUP, cand_group: int = CAND_GROUP) -> DataFrame:
     """The ``k`` best inner products of every query row against all rows.
 
-    ``vectors``: (vec_id long, q array<bigint>); ``query``: which rows are queries. Returns query_id, rank, vec_id, score.
-    Rows with a null id or vector take no part; vectors of different length never meet; a candidate with the query's own
-    id is the query's own row; repeated rows with equal id and vector count once. An empty table gives no rows. Candidates and queries are
-    dealt by a hash of id and vector into groups of bounded size, each pair of groups is one independent task, and only
-    ``k`` rows a query and group go on to the final ranking.
+    ``vectors``: (vec_id long, q array<bigint> or array<double> of whole numbers); ``query``: which rows are queries. Returns query_id, rank,
+    vec_id, score. Scores are exact at any magnitude; one among the ``k`` best that no long holds is an error. Rows with a null id or vector take
+    no part; vectors of different length never meet; a candidate with the query's own id is the query's own row. A repeated candidate row
+    counts as often as it occurs; a query that occurs more than once asks once. Ties go to the smaller id. An empty table gives no rows, further
+    columns play no part. Candidates and queries are dealt by a hash of id and vector into groups of bounded size, each pair of groups is one
+    independent task, and only ``k`` rows a query and group go on to the final ranking.
     """
     prepare(vectors.sparkSession)
     v = vectors.where("vec_id is not null and q is not null").select("vec_id", "q", F.size("q").alias("dim"), query.alias("is_query"))
-    v = cut(v.distinct())  # repeated rows fall together before they are dealt
+    v = cut(v.groupBy("vec_id", "q", "dim", "is_query").agg(F.count("*").alias("times")))  # repeated rows fall together before they are dealt
     n, m = v.agg(F.count("*"), F.count_if(F.col("is_query"))).first()
     cg, qg = max(1, math.ceil(n / cand_group)), max(1, math.ceil(m / query_group))
     deal = lambda g: F.pmod(F.xxhash64("vec_id", "q"), F.lit(g))
     every = lambda g: F.explode(F.sequence(F.lit(0), F.lit(g - 1)))
-    cand = v.select("dim", deal(cg).cast("int").alias("cg"), every(qg).alias("qg"), "vec_id", "q")
+    cand = v.select("dim", deal(cg).cast("int").alias("cg"), every(qg).alias("qg"), "vec_id", "q", F.least("times", F.lit(k)).cast("int").alias("times"))
     quer = v.where("is_query").select("dim", every(cg).alias("cg"), deal(qg).cast("int").alias("qg"), "vec_id", "q")
 
     def both(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -135,7 +139,11 @@ def topk_search(vectors: DataFrame, query: Column, k: int = K, query_group: int
             dim = key[0].as_py()
             mat = flat.reshape(len(ids), dim)
             sides.append((ids, mat))
-        qid, cid, s = branch_and_bound(*sides[1], *sides[0], k)
+        times = left["times"].to_numpy()
+        ids, mat = sides[0]
+        if times.max(initial=1) > 1:  # at most k times each, which is all that can be seen of them
+            ids, mat = np.repeat(ids, times), np.repeat(mat, times, axis=0)
+        qid, cid, s = branch_and_bound(*sides[1], ids, mat, k)
         return pa.table({"query_id": pa.array(qid, pa.int64()), "vec_id": pa.array(cid, pa.int64()), "score": pa.array(s, pa.int64())})
 
     found = cand.groupBy("dim", "cg", "qg").cogroup(quer.groupBy("dim", "cg", "qg")).applyInArrow(both, "query_id long, vec_id long, score long")
