@@ -15,7 +15,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package and give the session a checkpoint folder.
 
     The folder is the one named by ``spark.checkpoint.dir``; only where that is unset (tests, a
-    laptop) is a temporary one made.
+    laptop) is a temporary one made, and only for a local master: executors of a cluster could not read it.
     """
     sc = spark.sparkContext
     known = sc.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
@@ -23,6 +23,8 @@ def prepare(spark: SparkSession) -> SparkSession:
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="locusflow-checkpoint-"))
     return spark
 
