@@ -229,6 +229,8 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
     for _ in range(rng.randint(1, 9)):
         z = rng.random()
         if z < 0.72:
+            if rng.random() < 0.1:
+                control()
             leaf("p", rng.choice(["", "<b>"]) + (prose(1, 8) if rng.random() < 0.85 else words(1, 12)) + rng.choice(["", "", "<br>"]), 1)
         elif z < 0.78:
             leaf(rng.choice(["h2", "h3"]), words(1, 8), 1)

@@ -26,8 +26,8 @@ SAMPLE = 4000
 UNKNOWN = "und"
 #: Families by ISO 639-1 code; a language that is not listed is a family of its own.
 FAMILIES = {"germanic": ("en", "de", "nl", "sv", "da", "no"), "romance": ("fr", "es", "it", "pt", "ro", "ca"), "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr")}
-#: Least score of a document that ``keep`` keeps.
-FLOOR = 0.45
+#: Least likeness of a document that ``keep`` keeps. In learned languages even texts of three letters reach 0.23; other scripts and random letters stay under 0.2.
+FLOOR = 0.2
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -79,10 +79,16 @@ class Model:
     families: list[list[str]] = field(default_factory=list)
     family: np.ndarray | None = None  # a row of weights for each family
     pairs: dict[tuple[str, str], np.ndarray] = field(default_factory=dict)
+    means: np.ndarray | None = None  # a row for each language: the unit vector of all its texts
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        """Language and score."""
+        return self.recognise(text)[:2]
+
+    def recognise(self, text: str | None) -> tuple[str, float, float]:
+        """Language, score, and likeness: the cosine of the text's features and those of the learned language nearest to it."""
         if not self.families or not lettered(text):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         x = np.append(_unit(counts(text)), np.float32(1))
         p = np.ones(len(self.families))
         if self.family is not None:
@@ -97,7 +103,7 @@ class Model:
             won[b] += 1 - q
         lang = max(langs, key=lambda k: (won[k], k))
         share = won[lang] / sum(won.values()) if len(langs) > 1 else 1.0
-        return lang, float(min(1.0, p[best] * share))
+        return lang, float(min(1.0, p[best] * share)), float((self.means @ x[:-1]).max())
 
 
 def train(rows: list[tuple[str, np.ndarray]]) -> Model:
@@ -111,7 +117,7 @@ def train(rows: list[tuple[str, np.ndarray]]) -> Model:
         fam.setdefault(of.get(k, k), []).append(k)
     names = sorted(fam)
     x, y = np.stack([_unit(c.astype(float)) for _, c in rows]), np.array([a for a, _ in rows])
-    model = Model([fam[n] for n in names])
+    model = Model([fam[n] for n in names], means=np.stack([_unit(sum(c.astype(float) for a, c in rows if a == k)) for k in langs]))
     if len(names) > 1:
         model.family = np.stack([_svm(x, np.where(np.isin(y, fam[n]), 1.0, -1.0)) for n in names]).astype(np.float32)
     for n in names:
@@ -123,6 +129,7 @@ def train(rows: list[tuple[str, np.ndarray]]) -> Model:
 
 def fit(docs: DataFrame, learn, sample: int = SAMPLE) -> Model:
     """Train from documents for which ``learn`` holds and whose lang is not null: per language an equal part of ``sample``, the first by a hash of the id."""
+    prepare(docs.sparkSession)
     known = docs.where(learn).where(f"lang is not null and lang != '{UNKNOWN}' and text is not null")
     n = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     each = max(20, sample // max(1, len(n)))
@@ -166,7 +173,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model, languages: set[str] | None = None, floor: float = FLOOR, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose predicted language is one of ``languages`` (None: any that was learned) with a score of ``floor`` or more.
+    """The rows of ``docs`` whose predicted language is one of ``languages`` (None: any that was learned) and whose text is like a learned language, by ``floor`` or more.
 
     A null ``lang`` becomes the predicted language; other columns stay as they are. Texts that are null or have no letter go. Where nothing could
     be learned there is no prediction: every text with a letter stays unchanged. Repeated rows fare alike. No shuffle.
@@ -177,9 +184,9 @@ def keep(docs: DataFrame, model: Model, languages: set[str] | None = None, floor
         texts, learned = b.column(text).to_pylist(), bool(sent.value.families)
         if not learned:
             return b.filter(pa.array([lettered(t) for t in texts], pa.bool_()))
-        got = [sent.value.predict(t) for t in texts]
+        got = [sent.value.recognise(t) for t in texts]
         at = b.schema.get_field_index(lang)
-        b = b.set_column(at, b.schema.field(at), pa.array([k if k is not None else p for k, (p, _) in zip(b.column(at).to_pylist(), got, strict=True)], pa.string()).cast(b.schema.field(at).type))
-        return b.filter(pa.array([p != UNKNOWN and s >= floor and (languages is None or p in languages) for p, s in got], pa.bool_()))
+        b = b.set_column(at, b.schema.field(at), pa.array([k if k is not None else p for k, (p, _, _) in zip(b.column(at).to_pylist(), got, strict=True)], pa.string()).cast(b.schema.field(at).type))
+        return b.filter(pa.array([p != UNKNOWN and s >= floor and (languages is None or p in languages) for p, _, s in got], pa.bool_()))
 
     return arrow_map(docs, f, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
