@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.session import cut
+from locusflow.session import cut, release, tidy
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -30,12 +30,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     stays short. Self loops and null ends are ignored; repeated edges count once; no edges give no rows.
     """
     e = cut(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u != v").distinct())
-    seen = None
+    n = None
     while True:
-        e = cut(_small_star(_large_star(e)))
-        now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.count_if(F.col("u") < F.col("v"))).first()
-        if now == seen or now[0] == 0:
+        new = cut(_small_star(_large_star(e)))
+        m = new.count()
+        # equal numbers of distinct rows, none of them new: the same set
+        same = m == n and (m == 0 or new.join(e, ["u", "v"], "left_anti").isEmpty())
+        release(e)
+        e, n = new, m
+        if same or m == 0:
             break
-        seen = now
+    tidy(edges.sparkSession)
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

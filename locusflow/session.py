@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
@@ -35,5 +37,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*dfs: DataFrame) -> None:
+    """Deletes the checkpoint files of results of ``cut`` that nothing reads any more; what came of them must be cut itself."""
+    for df in dfs:
+        try:
+            found = df._jdf.logicalPlan().rdd().getCheckpointFile()
+        except Py4JError:  # not such a result
+            continue
+        if found.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(found.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets the context cleaner remove the shuffle files of plans that are no longer referenced, which it does only after a collection of the driver's memory."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
