@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,23 +127,55 @@ def lowest_presplit(members: DataFrame, edges: DataFrame, n_samples: int) -> Dat
 def split_components(members: DataFrame, edges: DataFrame, n_samples: int) -> DataFrame:
     """component, node, sample, part: each component cut so that no part has a sample twice, strongest edges first (constrained Kruskal).
 
-    Components over the size cap are split by ``lowest_presplit`` first. Components without a repeated sample pass unchanged and never reach Python; the others, bounded by the size cap, are split one group
-    at a time. Order of work inside a component is fixed, so the result does not depend on partitioning.
+    Components over the size cap are split by ``lowest_presplit`` first. Components without a repeated sample pass unchanged and never reach Python; the others, bounded by the size cap, are split
+    many to a task. Order of work inside a component is fixed, so the result does not depend on partitioning.
     """
     m = cut(lowest_presplit(members, edges, n_samples))
     dup = duplicate_samples(m).where("duplicated").select("component")
     clean = m.join(dup, "component", "left_anti").withColumn("part", F.col("component"))
     work = m.join(dup, "component", "left_semi")
     e = edges.join(work.select(F.col("node").alias("src"), F.col("component")), "src").join(work.select(F.col("node").alias("dst"), F.col("component").alias("_c")), "dst").where("component = _c").drop("_c")
-    e = e.toDF(*e.columns)  # columns of their own: both sides of the cogroup come from the members
     kinds = dict(m.dtypes)
-
-    def split(key, n: pd.DataFrame, ed: pd.DataFrame) -> pd.DataFrame:
-        part = _kruskal(n["node"], dict(zip(n["node"], n["sample"], strict=True)), list(ed[["src", "dst", "pid", "qcov"]].itertuples(index=False, name=None)))
-        return n.assign(part=n["node"].map(part))
+    none = lambda t: F.lit(None).cast(t)
+    # nodes and edges of a component side by side, nodes first: a task walks many components
+    rows = work.select("component", F.lit(0).alias("kind"), F.col("node").alias("a"), none(kinds["node"]).alias("b"), "sample", F.lit(0.0).alias("pid"), F.lit(0.0).alias("qcov"))
+    rows = rows.unionByName(e.select("component", F.lit(1).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), none(kinds["sample"]).alias("sample"), F.col("pid").cast("double"), F.col("qcov").cast("double")))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, links, now, out = {}, [], None, []
+
+        def close():
+            part = _kruskal(nodes, nodes, links)
+            out.extend((now, n, s, part[n]) for n, s in nodes.items())
+
+        def batch():
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["component", "node", "sample", "part"])
+
+        types = None
+        for b in batches:
+            if types is None:
+                t = {f.name: f.type for f in b.schema}
+                types = [t["component"], t["a"], t["sample"], t["a"]]
+            for c, kind, x, y, s, p, q in zip(*(b.column(n).to_pylist() for n in ("component", "kind", "a", "b", "sample", "pid", "qcov")), strict=True):
+                if c != now:
+                    if nodes:
+                        close()
+                    nodes, links, now = {}, [], c
+                if kind:
+                    links.append((x, y, p, q))
+                else:
+                    nodes[x] = s
+            if len(out) > 10_000:
+                yield batch()
+        if nodes:
+            close()
+        if out:
+            yield batch()
 
     schema = f"component {kinds['component']}, node {kinds['node']}, sample {kinds['sample']}, part {kinds['node']}"
-    split_up = work.select("component", "node", "sample").groupBy("component").cogroup(e.groupBy("component")).applyInPandas(split, schema)
+    split_up = rows.repartition("component").sortWithinPartitions("component", "kind").mapInArrow(split, schema)
     return clean.select("component", "node", "sample", "part").unionByName(split_up)
 
 

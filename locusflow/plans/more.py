@@ -112,9 +112,9 @@ def physical_blocks(spark, sf):
     return snps.ld_blocks(p.sites(spark, sf), 500)
 
 
-@query(f"WITH {p.READS}, c AS (SELECT substr(seq, 1, 6) AS barcode, COUNT(*) AS reads FROM reads WHERE read % 3 = 0 GROUP BY 1), n AS (SELECT COUNT(*) AS n FROM reads) SELECT barcode, reads FROM c, n WHERE reads >= GREATEST(2, 0.001 * n) ORDER BY reads DESC, barcode LIMIT 25")
+@query(f"WITH {p.READS}, c AS (SELECT substr(seq, 1, 6) AS barcode, COUNT(*) AS reads FROM reads GROUP BY 1), n AS (SELECT COUNT(*) AS n FROM reads) SELECT barcode, reads FROM c, n WHERE reads >= GREATEST(2, 0.001 * n) ORDER BY reads DESC, barcode LIMIT 25")
 def suspected_barcodes(spark, sf):
-    r = p.reads(spark, sf).withColumn("status", F.when(F.col("read") % 3 == 0, "miss").otherwise("match"))
+    r = p.reads(spark, sf).withColumn("status", F.lit("miss"))
     return reads.suspected_barcodes(r, 6, 0.001, 2)
 
 
@@ -145,7 +145,7 @@ def top_kmers(spark, sf):
 
 
 @query(f"""WITH RECURSIVE {p.EDGES}, nb AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), walk AS (SELECT a AS node, a AS hop FROM nb UNION SELECT walk.node, nb.b FROM walk JOIN nb ON walk.hop = nb.a), c AS (SELECT node, MIN(hop) AS component FROM walk GROUP BY node)
-    SELECT component, node % {N} AS sample, arg_min(node, -(node % 5) * 1000000000000 - (node % 7) * 1000000000 + node) AS node FROM c GROUP BY 1, 2""")
+    SELECT component, node % {N} AS sample, node FROM c QUALIFY row_number() OVER (PARTITION BY component, node % {N} ORDER BY node % 5 DESC, node % 7 DESC, node) = 1""")
 def sample_representatives(spark, sf):
     m = members(spark, sf).withColumns({"n_reads": F.col("node") % 5, "length": F.col("node") % 7})
     return graph.representatives(m)

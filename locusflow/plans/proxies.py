@@ -5,7 +5,7 @@ Only integer arithmetic that both engines compute alike.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusflow.session import table
@@ -50,38 +50,38 @@ def sites(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ivl(spark: SparkSession, sf: str) -> DataFrame:
-    """sample, chrom, start, end."""
-    li = table(spark, sf, "lineitem").where("l_linenumber = 1")
-    start = F.col("l_orderkey") % 5000
+    """sample, chrom, start, end: an interval of each line, on scaffolds that grow with the table."""
+    li = table(spark, sf, "lineitem")
+    start = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     return li.select((F.col("l_suppkey") % 4).alias("sample"), (F.col("l_partkey") % 5).alias("chrom"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"))
 
 
 IVL = """ivl AS (
-        SELECT l_suppkey % 4 AS sample, l_partkey % 5 AS chrom, l_orderkey % 5000 AS "start", l_orderkey % 5000 + CAST(l_quantity AS BIGINT) AS "end"
-        FROM lineitem WHERE l_linenumber = 1
+        SELECT l_suppkey % 4 AS sample, l_partkey % 5 AS chrom, l_orderkey * 10 + l_linenumber AS "start", l_orderkey * 10 + l_linenumber + CAST(l_quantity AS BIGINT) AS "end"
+        FROM lineitem
     )"""
 
 
 def loci(spark: SparkSession, sf: str) -> DataFrame:
-    """chrom, start, end of disjoint 100-base loci every 250 bases."""
-    return spark.range(100).select(F.floor(F.col("id") / 20).alias("chrom"), (F.col("id") % 20 * 250).alias("start"), (F.col("id") % 20 * 250 + 100).alias("end"))
+    """chrom, start, end of disjoint 30-base loci every 50 bases, one an order."""
+    start = F.floor(F.col("o_orderkey") / 5) * 50
+    return table(spark, sf, "orders").select((F.col("o_orderkey") % 5).alias("chrom"), start.alias("start"), (start + 30).alias("end"))
 
 
-LOCI = """loci AS (SELECT CAST(c AS BIGINT) AS chrom, i * 250 AS "start", i * 250 + 100 AS "end" FROM range(20) a(i), range(5) b(c))"""
+LOCI = """loci AS (SELECT o_orderkey % 5 AS chrom, o_orderkey // 5 * 50 AS "start", o_orderkey // 5 * 50 + 30 AS "end" FROM orders)"""
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """src, dst, pid from pairs of orders of one part; one edge a pair."""
-    li = table(spark, sf, "lineitem").where("l_linenumber = 1 and l_partkey % 40 = 0").select("l_orderkey", "l_partkey")
-    j = li.alias("a").join(li.alias("b"), "l_partkey").where("a.l_orderkey < b.l_orderkey")
-    v = (F.col("a.l_orderkey") * 31 + F.col("b.l_orderkey") * 17 + F.col("l_partkey")) % 100
-    return j.groupBy(F.col("a.l_orderkey").alias("src"), F.col("b.l_orderkey").alias("dst")).agg((F.max(v) / 100).alias("pid"))
+    """src, dst, pid: each line of a part is linked to the part's next line."""
+    li = table(spark, sf, "lineitem").select("l_partkey", (F.col("l_orderkey") * 10000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("src"))
+    e = li.withColumn("dst", F.lead("src").over(Window.partitionBy("l_partkey").orderBy("src"))).where("dst is not null and src < dst")
+    return e.select("src", "dst", ((F.col("src") * 31 + F.col("dst") * 17 + F.col("l_partkey")) % 100 / 100).alias("pid"))
 
 
 EDGES = """edges AS (
-        SELECT a.l_orderkey AS src, b.l_orderkey AS dst, MAX((a.l_orderkey * 31 + b.l_orderkey * 17 + a.l_partkey) % 100) / 100.0 AS pid
-        FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey
-        WHERE a.l_linenumber = 1 AND b.l_linenumber = 1 AND a.l_partkey % 40 = 0 GROUP BY 1, 2
+        SELECT src, dst, (src * 31 + dst * 17 + l_partkey) % 100 / 100.0 AS pid
+        FROM (SELECT l_partkey, l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS src, lead(l_orderkey * 10000000 + l_partkey * 10 + l_linenumber) OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10000000 + l_partkey * 10 + l_linenumber) AS dst FROM lineitem)
+        WHERE dst IS NOT NULL AND src < dst
     )"""
 
 
@@ -94,26 +94,25 @@ SEQS = "seqs AS (SELECT doc_id AS read, regexp_replace(upper(text), '[^ACGT]', '
 
 
 def reads(spark: SparkSession, sf: str) -> DataFrame:
-    return seqs(spark, sf).select("read", F.substring("seq", 1, 50).alias("seq"))
+    return seqs(spark, sf)
 
 
-READS = SEQS + ", reads AS (SELECT read, substr(seq, 1, 50) AS seq FROM seqs)"
+READS = SEQS + ", reads AS (SELECT read, seq FROM seqs)"
 
 #: What the letters of the synthetic alignment stand for: bases, heterozygotes, missing and gap.
 LETTERS = "ACGTACGTACGTRYN-"
 
 
 def alignment(spark: SparkSession, sf: str) -> DataFrame:
-    """locus, sample, seq of 40 columns: a letter for each (order line, column)."""
-    o = table(spark, sf, "orders").where("o_orderkey < 20000").select((F.col("o_orderkey") % 300).alias("locus"), (F.col("o_custkey") % 6).alias("sample"), F.col("o_orderkey").alias("k"))
-    one = o.groupBy("locus", "sample").agg(F.min("k").alias("k"))
+    """locus, sample, seq of 40 columns: six orders are a locus, so loci grow with the table."""
+    one = table(spark, sf, "orders").select(F.floor(F.col("o_orderkey") / 6).alias("locus"), (F.col("o_orderkey") % 6).alias("sample"), F.col("o_orderkey").alias("k"))
     v = lambda i: ((F.col("k") % 7 == 0).cast("int") * 7 * i + i * 5 + F.col("locus") * 3 + F.when((F.col("k") + i) % 9 == 0, F.col("sample") * 3).otherwise(0)) % 16
     chars = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.substr(F.lit(LETTERS), (v(i) + 1).cast("int"), F.lit(1)))
     return one.select("locus", "sample", F.array_join(chars, "").alias("seq"))
 
 
 ALIGNMENT = f"""one AS (
-        SELECT o_orderkey % 300 AS locus, o_custkey % 6 AS sample, MIN(o_orderkey) AS k FROM orders WHERE o_orderkey < 20000 GROUP BY 1, 2
+        SELECT o_orderkey // 6 AS locus, o_orderkey % 6 AS sample, o_orderkey AS k FROM orders
     ),
     cells AS (
         SELECT locus, sample, CAST(i AS INTEGER) AS pos,

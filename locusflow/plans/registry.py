@@ -431,11 +431,11 @@ def low_depth_mask(spark, sf):
     return intervals.low_depth_mask(p.loci(spark, sf), intervals.coverage(p.ivl(spark, sf)), 2)
 
 
-@query(f'WITH {p.LOCI}, pt AS (SELECT l_partkey % 5 AS chrom, l_orderkey % 5000 AS pos, l_linenumber AS id FROM lineitem) SELECT pt.chrom, l."start" AS istart, COUNT(*) AS points, CAST(SUM(pos - l."start") AS BIGINT) AS places FROM pt JOIN loci l ON pt.chrom = l.chrom AND pos >= l."start" AND pos < l."end" GROUP BY 1, 2')
+@query(f'WITH {p.LOCI}, pt AS (SELECT l_partkey % 5 AS chrom, l_orderkey * 10 AS pos FROM lineitem) SELECT pt.chrom, l."start" AS istart, COUNT(*) AS points, CAST(SUM(pos - l."start") AS BIGINT) AS places FROM pt JOIN loci l ON pt.chrom = l.chrom AND pos >= l."start" AND pos < l."end" GROUP BY 1, 2')
 def point_in_interval(spark, sf):
     from locusflow.session import table
 
-    pts = table(spark, sf, "lineitem").select((F.col("l_partkey") % 5).alias("chrom"), (F.col("l_orderkey") % 5000).alias("pos"))
+    pts = table(spark, sf, "lineitem").select((F.col("l_partkey") % 5).alias("chrom"), (F.col("l_orderkey") * 10).alias("pos"))
     lo = p.loci(spark, sf).select("chrom", F.col("start").alias("istart"), F.col("end").alias("iend"))
     return intervals.point_in_interval(pts, lo).groupBy("chrom", "istart").agg(F.count("*").alias("points"), F.sum(F.col("pos") - F.col("istart")).alias("places"))
 
@@ -472,20 +472,20 @@ def paralog_cross_sample(spark, sf):
     return rounded(paralogs.across_samples(calls(spark, sf), 0.9, 3))
 
 
-@query(f"""WITH {PARALOG_METRICS}, a AS ({REDUCE} WHERE sample % 2 = 0 AND rid % 7 <> 0 GROUP BY rid), b AS ({REDUCE} WHERE sample % 2 = 1 AND rid % 5 <> 0 GROUP BY rid)
+@query(f"""WITH {PARALOG_METRICS}, a AS ({REDUCE} WHERE sample % 2 = 0 GROUP BY rid), b AS ({REDUCE.replace('SELECT rid,', 'SELECT rid + 5 AS rid,')} WHERE sample % 2 = 1 GROUP BY calls.rid)
     SELECT COALESCE(a.rid, b.rid) AS rid, COALESCE(a.n_data, 0) AS rad_data, COALESCE(a.n_fail, 0) AS rad_fail, COALESCE(b.n_data, 0) AS wgs_data, COALESCE(b.n_fail, 0) AS wgs_fail,
            COALESCE(a.n_data >= 1 AND a.fail_fraction <= 0.9, true) AND COALESCE(b.n_data >= 1 AND b.fail_fraction <= 0.9, true) AS keep FROM a FULL JOIN b ON a.rid = b.rid""")
 def paralog_rad_wgs(spark, sf):
     c = calls(spark, sf)
-    return rounded(paralogs.rad_wgs(paralogs.across_samples(c.where("sample % 2 = 0 and rid % 7 != 0"), 0.9), paralogs.across_samples(c.where("sample % 2 = 1 and rid % 5 != 0"), 0.9)))
+    return rounded(paralogs.rad_wgs(paralogs.across_samples(c.where("sample % 2 = 0"), 0.9), paralogs.across_samples(c.where("sample % 2 = 1").withColumn("rid", F.col("rid") + 5), 0.9)))
 
 
-@query("WITH r AS (SELECT l_partkey % 97 AS rid, COUNT(*) AS reads, COUNT(*) FILTER (WHERE l_linenumber * 6 >= 20) AS clipped FROM lineitem WHERE l_partkey % 97 < 90 GROUP BY 1) SELECT i AS rid, COALESCE(reads, 0) AS reads, COALESCE(clipped, 0) AS clipped, ROUND(COALESCE(clipped / reads, 0), 6) AS fraction FROM range(97) t(i) LEFT JOIN r ON r.rid = i")
+@query("WITH r AS (SELECT l_partkey % 97 AS rid, COUNT(*) AS reads, COUNT(*) FILTER (WHERE l_linenumber * 6 >= 20) AS clipped FROM lineitem GROUP BY 1) SELECT i AS rid, COALESCE(reads, 0) AS reads, COALESCE(clipped, 0) AS clipped, ROUND(COALESCE(clipped / reads, 0), 6) AS fraction FROM range(120) t(i) LEFT JOIN r ON r.rid = i")
 def softclip_fraction(spark, sf):
     from locusflow.session import table
 
-    r = table(spark, sf, "lineitem").select((F.col("l_partkey") % 97).alias("rid"), (F.col("l_linenumber") * 6).alias("clip")).where("rid < 90")
-    return rounded(paralogs.softclip_fraction(spark.range(97).select(F.col("id").alias("rid")), r, 20))
+    r = table(spark, sf, "lineitem").select((F.col("l_partkey") % 97).alias("rid"), (F.col("l_linenumber") * 6).alias("clip"))
+    return rounded(paralogs.softclip_fraction(spark.range(120).select(F.col("id").alias("rid")), r, 20))
 
 
 # ---- variant calls
@@ -627,9 +627,9 @@ def revcomp(spark, sf):
     return p.reads(spark, sf).select("read", fg.revcomp("seq").alias("rc"))
 
 
-@query(f"WITH {p.READS} SELECT substr(seq, 1, 5) AS seq, COUNT(*) AS size, MIN(read) AS read FROM reads GROUP BY 1 HAVING COUNT(*) >= 2")
+@query(f"WITH {p.READS} SELECT seq, COUNT(*) AS size, MIN(read) AS read FROM reads GROUP BY 1 HAVING COUNT(*) >= 2")
 def derep_min_size(spark, sf):
-    return reads.dereplicate(p.reads(spark, sf).withColumn("seq", F.substring("seq", 1, 5)), 2)
+    return reads.dereplicate(p.reads(spark, sf), 2)
 
 
 @query()
