@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,3 +116,57 @@ def matrix_blocks(g: DataFrame, sites_per_block: int = 4096) -> DataFrame:
     """block, sample, sites, dosages: the matrix as bounded rows for column-wise work."""
     b = g.withColumn("block", F.floor(F.col("site") / sites_per_block))
     return b.groupBy("block", "sample").agg(F.sort_array(F.collect_list(F.struct("site", F.coalesce("dosage", F.lit(-1)).alias("d")))).alias("c")).select("block", "sample", F.transform("c", lambda x: x["site"]).alias("sites"), F.transform("c", lambda x: x["d"]).alias("dosages"))
+
+
+def snmf(blocks: DataFrame, samples: list, ks: list[int], inits: int = 2, rounds: int = 20, inner: int = 10, share: float = 0.05, seed: int = 0) -> list[tuple[int, np.ndarray, float]]:
+    """(k, Q, cross-entropy of held-out genotypes) of one factorisation V ~ Q G over all sites jointly, the best of ``inits`` starts by error.
+
+    ``blocks``: as ``matrix_blocks``; V holds three indicator columns a site, missing and held-out cells the site's means. Q (samples x k, rows
+    summing to one) is on the driver; every round each block fits its own part of G to Q, and only the sums V G' and G G' (samples x k and k x k,
+    added up where the blocks are) come back, for all k and starts in one pass. A cell is held out by a hash of its site and sample.
+    """
+    rng = np.random.default_rng(seed)
+    place = {s: i for i, s in enumerate(samples)}
+    runs = [(k, q / q.sum(1, keepdims=True)) for k in ks for _ in range(inits) for q in [rng.random((len(samples), k)) + 0.1]]
+    names = samples
+
+    def fit(d):
+        import pandas as pd
+
+        sites = sorted({x for c in d["sites"] for x in c})
+        at, m = {x: i for i, x in enumerate(sites)}, np.full((len(names), len(sites)), -1)
+        for row in d.itertuples():
+            m[place[row.sample], [at[x] for x in row.sites]] = row.dosages
+        h = np.array([zlib.crc32(f"{seed}:{s}:{x}".encode()) for s in names for x in sites], np.float64).reshape(m.shape) / 2**32
+        hold = (h < share) & (m >= 0)
+        seen = np.where(hold, -1, m)
+        mean = np.stack([(seen == a).sum(0) for a in range(3)], 1) / np.maximum((seen >= 0).sum(0), 1)[:, None]
+        v = np.where(seen[:, :, None] >= 0, np.eye(3)[np.maximum(seen, 0)], mean[None]).reshape(len(names), -1)
+        out = []
+        for r, (k, q) in enumerate(runs):
+            g = np.tile(v.mean(0), (k, 1)) + 1e-3
+            top, both = q.T @ v, q.T @ q
+            for _ in range(inner):
+                g *= top / np.maximum(both @ g, 1e-12)
+            p = (q @ g).reshape(len(names), -1, 3)
+            p = p / np.maximum(p.sum(2, keepdims=True), 1e-12)
+            miss = -np.log(np.maximum(p[hold, m[hold]], 1e-9)).sum()
+            out.append((r, np.concatenate([(v @ g.T).ravel(), (g @ g.T).ravel(), [((v - q @ g) ** 2).sum(), miss, hold.sum()]]).tolist()))
+        return pd.DataFrame(out, columns=["run", "sums"])
+
+    best: dict[int, tuple] = {}
+    for step in range(rounds):
+        sums = blocks.groupBy("block").applyInPandas(fit, "run int, sums array<double>").select("run", F.posexplode("sums").alias("i", "x")).groupBy("run", "i").agg(F.sum("x").alias("x"))
+        got: dict[int, dict[int, float]] = {}
+        for r in sums.collect():  # runs * (samples * k + k * k + 3) rows, whatever the sites
+            got.setdefault(r.run, {})[r.i] = r.x
+        for r, (k, q) in enumerate(runs):
+            x = np.array([got[r][i] for i in range(len(got[r]))]) if r in got else np.zeros(q.size + k * k + 3)
+            vg, gg, (error, miss, n) = x[: q.size].reshape(q.shape), x[q.size : -3].reshape(k, k), x[-3:]
+            if step == rounds - 1:
+                if k not in best or error < best[k][0]:
+                    best[k] = (error, q, miss / n if n else float("nan"))
+            else:
+                q = q * vg / np.maximum(q @ gg, 1e-12)
+                runs[r] = (k, q / np.maximum(q.sum(1, keepdims=True), 1e-12))
+    return [(k, *best[k][1:]) for k in ks if k in best]

@@ -14,6 +14,10 @@ def prefix_kmers(reads: DataFrame, sizes: tuple[int, ...] = tuple(range(3, 11)),
     return r.groupBy("offset", "k", F.substring("seq", F.col("offset") + 1, F.col("k")).alias("kmer")).agg(F.count("*").alias("n"))
 
 
+#: Candidates that are sent to every task at most.
+SMALL = 500_000
+
+
 def expand_barcodes(barcodes: DataFrame, mismatches: int = 1, deletion: bool = False) -> DataFrame:
     """sample, barcode, candidate, distance: every string within ``mismatches`` substitutions over A, C, G, T, N, at its least distance;
     with ``deletion`` also the barcode without its first base, at distance 1."""
@@ -39,20 +43,30 @@ def demultiplex(reads: DataFrame, candidates: DataFrame, cutters: list[str], sla
     """``reads`` with sample and status (match, ambiguous, miss): a candidate that starts the read, after up to one base of slack,
     directly followed by a cut motif. A read's best is the least (distance, slack, -length); more than one sample there is ambiguous.
 
-    Candidates join on (length, string), one probe per length and slack, never by comparing all barcodes.
+    Each length and slack is one look-up of a string in the table of candidates: no shuffle of the reads where that table (samples times a barcode's
+    neighbourhood) is small enough to be sent to every task. Repeated read ids are reads of their own.
     """
-    lens = [r[0] for r in candidates.select(F.length("candidate")).distinct().collect()]  # a handful of barcode lengths
-    probes = F.explode(F.array(*[F.struct(F.lit(n).alias("len"), F.lit(s).alias("slack")) for n in sorted(lens) for s in slack]))
-    p = reads.select("read", F.upper("seq").alias("seq"), probes.alias("_p")).select("read", "seq", "_p.*")
-    p = p.withColumn("candidate", F.substring("seq", F.col("slack") + 1, F.col("len"))).withColumn("rest", F.substring("seq", F.col("slack") + F.col("len") + 1, 64))
-    cut = F.lit(False)
-    for c in cutters:
-        cut = cut | F.startswith(F.col("rest"), F.lit(c))
-    j = p.where(cut).join(F.broadcast(candidates), "candidate")  # samples times a barcode's neighbourhood
-    rank = F.struct(F.col("distance"), F.col("slack"), -F.col("len"))
-    best = j.groupBy("read").agg(F.min(rank).alias("best"))
-    hit = j.withColumn("_r", rank).join(best, "read").where(F.col("_r") == F.col("best")).groupBy("read").agg(F.min("sample").alias("sample"), F.count_distinct("sample").alias("n"))
-    return reads.join(hit, "read", "left").withColumn("status", F.when(F.col("n") == 1, "match").when(F.col("n") > 1, "ambiguous").otherwise("miss")).withColumn("sample", F.when(F.col("n") == 1, F.col("sample"))).drop("n")
+    at_least = candidates.groupBy("candidate", "distance").agg(F.min("sample").alias("sample"), F.count_distinct("sample").alias("n"))
+    near = at_least.groupBy("candidate").agg(F.min(F.struct("distance", "sample", "n")).alias("near"), F.length("candidate").alias("len"))
+    sizes = near.groupBy("len").agg(F.count("*").alias("c")).orderBy("len").collect()  # a handful of barcode lengths
+    near = near.select("candidate", "near")
+    if sum(r.c for r in sizes) <= SMALL:
+        near = F.broadcast(near)
+    out, ranks = reads.withColumn("_seq", F.upper("seq")), []
+    for n in (r.len for r in sizes):
+        for s in slack:
+            rest, cut = F.substring("_seq", s + n + 1, 64), F.lit(False)
+            for c in cutters:
+                cut = cut | F.startswith(rest, F.lit(c))
+            name = f"_near{len(ranks)}"
+            found = near.select(F.col("candidate").alias("_candidate"), F.col("near").alias(name))
+            out = out.withColumn("_key", F.when(cut, F.substring("_seq", s + 1, n))).join(found, F.col("_key") == F.col("_candidate"), "left").drop("_key", "_candidate")
+            ranks.append(F.when(F.col(name).isNotNull(), F.struct(F.col(f"{name}.distance").alias("d"), F.lit(s).alias("s"), F.lit(-n).alias("l"), F.col(f"{name}.sample").alias("sample"), F.col(f"{name}.n").alias("n"))))
+    if not ranks:
+        return reads.withColumns({"sample": F.lit(None).cast("string"), "status": F.lit("miss")})
+    out = out.withColumn("_best", F.array_min(F.array(*ranks)))
+    status = F.when(F.col("_best.n") == 1, "match").when(F.col("_best.n") > 1, "ambiguous").otherwise("miss")
+    return out.select(*reads.columns, F.when(F.col("_best.n") == 1, F.col("_best.sample")).alias("sample"), status.alias("status"))
 
 
 def demultiplex_pairs(r1: DataFrame, r2: DataFrame, combos: DataFrame) -> DataFrame:

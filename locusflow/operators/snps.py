@@ -5,6 +5,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -118,11 +122,44 @@ def _filled(g: DataFrame, n_samples: int) -> DataFrame:
 
 
 def gram_matrix(g: DataFrame, n_samples: int) -> DataFrame:
-    """i, j, dot: products of mean-filled, column-centred sample rows, i <= j. Samples squared rows; sites meet in groups of at most ``n_samples``."""
-    x = _filled(g, n_samples)
-    rows = x.groupBy("site").agg(F.collect_list(F.struct("sample", "x")).alias("r"))  # bounded by the samples
-    pair = rows.select(F.explode("r").alias("a"), "r").select("a", F.explode("r").alias("b")).where("a.sample <= b.sample")
-    return pair.groupBy(F.col("a.sample").alias("i"), F.col("b.sample").alias("j")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("dot"))
+    """i, j, dot: products of mean-filled, column-centred sample rows, i <= j. Each task multiplies dense blocks of its sites and sends one samples-squared matrix on."""
+    x = _filled(g, n_samples).select("site", "sample", "x").repartition("site").sortWithinPartitions("site")
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, total, met, held, kind = {}, np.zeros((0, 0)), np.zeros((0, 0), bool), None, None
+
+        def add(rows: pa.Table):
+            nonlocal total, met
+            names = rows["sample"].to_pylist()
+            for n in names:
+                place.setdefault(n, len(place))
+            grown = len(place) - len(total)
+            if grown:
+                total, met = np.pad(total, (0, grown)), np.pad(met, (0, grown))
+            cols, sites = np.fromiter((place[n] for n in names), np.int64, len(names)), np.unique(np.asarray(rows["site"]), return_inverse=True)[1]
+            dense, has = np.zeros((sites.max() + 1, len(place))), np.zeros((sites.max() + 1, len(place)))
+            dense[sites, cols], has[sites, cols] = rows["x"].to_numpy(), 1
+            total += dense.T @ dense
+            met |= (has.T @ has) > 0
+
+        for b in batches:
+            kind = b.schema.field("sample").type
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            if held.num_rows:  # the rows of the last site may go on
+                whole = int(np.flatnonzero(np.asarray(held["site"]) != held["site"][-1].as_py())[-1:].sum() + 1) if held["site"][0] != held["site"][-1] else 0
+                if whole:
+                    add(held.slice(0, whole))
+                    held = held.slice(whole)
+        if held is not None and held.num_rows:
+            add(held)
+        names = list(place)
+        pairs = [(a, b) for a in range(len(names)) for b in range(len(names)) if names[a] <= names[b] and met[a, b]]
+        if pairs:
+            yield pa.record_batch({"i": pa.array([names[a] for a, _ in pairs], kind), "j": pa.array([names[b] for _, b in pairs], kind), "dot": pa.array([float(total[p]) for p in pairs])})
+
+    of = dict(g.dtypes)["sample"]
+    return x.mapInArrow(products, f"i {of}, j {of}, dot double").groupBy("i", "j").agg(F.sum("dot").alias("dot"))
 
 
 def dissimilarity(g: DataFrame, n_samples: int) -> DataFrame:

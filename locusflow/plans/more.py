@@ -153,20 +153,11 @@ def sample_representatives(spark, sf):
 
 @query()
 def admixture_cv(spark, sf):
-    """k, cross_entropy over all sites: each block of sites is factorised in its own task and the held-out log probabilities are averaged."""
-    import numpy as np
-    import pandas as pd
-
-    def block(d: pd.DataFrame) -> pd.DataFrame:
-        names, sites = sorted(d["sample"].unique()), sorted({x for c in d["sites"] for x in c})
-        m, at = np.full((len(names), len(sites)), -1), {x: i for i, x in enumerate(sites)}
-        for row in d.itertuples():
-            m[names.index(row.sample), [at[x] for x in row.sites]] = row.dosages
-        got = numeric.admixture_cv(m, range(1, 4))
-        return pd.DataFrame({"k": [k for k, _ in got], "h": [h for _, h in got], "w": len(sites)})
-
-    h = numeric.matrix_blocks(p.geno(spark, sf), 512).groupBy("block").applyInPandas(block, "k int, h double, w long")
-    return h.where("not isnan(h)").groupBy("k").agg((F.sum(F.col("h") * F.col("w")) / F.sum("w")).alias("cross_entropy"))
+    """k and the cross-entropy of held-out genotypes under one membership matrix over all sites."""
+    from locusflow.session import cut
+
+    got = numeric.snmf(cut(numeric.matrix_blocks(p.geno(spark, sf), 512)), list(range(N)), [1, 2, 3], rounds=12)
+    return spark.createDataFrame([(k, float(h)) for k, _, h in got], "k int, cross_entropy double")
 
 
 @query()
