@@ -133,8 +133,9 @@ def split_components(members: DataFrame, edges: DataFrame, n_samples: int) -> Da
     m = cut(lowest_presplit(members, edges, n_samples))
     dup = duplicate_samples(m).where("duplicated").select("component")
     clean = m.join(dup, "component", "left_anti").withColumn("part", F.col("component"))
-    work = m.join(dup, "component", "left_semi")
+    work = cut(m.join(dup, "component", "left_semi"))
     e = edges.join(work.select(F.col("node").alias("src"), F.col("component")), "src").join(work.select(F.col("node").alias("dst"), F.col("component").alias("_c")), "dst").where("component = _c").drop("_c")
+    e = cut(e.select("component", "src", "dst", "pid", "qcov"))
     kinds = dict(m.dtypes)
     none = lambda t: F.lit(None).cast(t)
     # nodes and edges of a component side by side, nodes first: a task walks many components

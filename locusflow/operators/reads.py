@@ -52,7 +52,8 @@ def demultiplex(reads: DataFrame, candidates: DataFrame, cutters: list[str], sla
     near = near.select("candidate", "near")
     if sum(r.c for r in sizes) <= SMALL:
         near = F.broadcast(near)
-    out, ranks = reads.withColumn("_seq", F.upper("seq")), []
+    reach = max(slack, default=0) + max((r.len for r in sizes), default=0) + max(map(len, cutters), default=0)  # no look-up sees more of a read
+    out, ranks = reads.withColumn("_seq", F.upper(F.substring("seq", 1, reach))), []
     for n in (r.len for r in sizes):
         for s in slack:
             rest, cut = F.substring("_seq", s + n + 1, 64), F.lit(False)
