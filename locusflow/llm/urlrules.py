@@ -1,9 +1,9 @@
 """URL filtering by association rules.
 
-Labelled URLs become baskets of tokens plus the item ``=block`` where the label is bad. Spark's FP-growth mines the
-frequent baskets; rules tokens -> block are counted again over all labelled URLs and pruned by support, confidence and
-significance and to their smallest antecedents. An inverted index from each rule's rarest token finds the rules that can match a URL.
-Listed rules (host and path) come first.
+Labelled URLs become baskets of all their tokens. FP-growth mines the sets of tokens that are frequent among the bad ones: the tree is a
+distributed table of its paths with counts of all and of bad URLs, and each round grows every set by the tokens of its conditional paths.
+Rules tokens -> block are kept by support, confidence and significance and pruned to their smallest antecedents. An inverted index from each rule's
+rarest token finds the rules that can match a URL. Listed rules (host and path) come first.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +23,10 @@ from locusflow.session import cut, prepare
 #: Of the labelled urls, the share and the number that a rule must block rightly, the share of its own that must be bad, and its least
 #: chi-square statistic (one in a thousand by chance).
 SUPPORT, LEAST, CONFIDENCE, CHI2 = 0.005, 20, 0.6, 10.83
-#: Bounds of mining: tokens of a rule, and tokens of a labelled url that mining sees (those of the greatest chi-square statistic).
-LARGEST, BASKET = 3, 16
+#: Tokens of a rule, at most.
+LARGEST = 3
 #: Rules sent to the executors at once; more rules go in several rounds.
 INDEX = 50_000
-BLOCK = "=block"
 
 
 @dataclass(frozen=True)
@@ -90,13 +88,13 @@ def _chi2(hits: Column, all_: Column, bad: int, n: int) -> Column:
     return odd * odd * F.lit(float(n)) / F.greatest(m * (F.lit(float(n)) - m) * F.lit(float(bad) * float(n - bad)), F.lit(1e-9))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST, chi2: float = CHI2, largest: int = LARGEST, basket: int = BASKET) -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST, chi2: float = CHI2, largest: int = LARGEST) -> DataFrame:
     """rule_id, antecedent (array of tokens), support, confidence of the rules antecedent -> block.
 
     ``labelled``: url, bad (boolean); rows with a null in either teach nothing. A rule blocks at least ``least`` bad labelled urls and ``support`` of
     all labelled ones, is right at least ``confidence`` of the time and beyond chance by ``chi2``, and has at most ``largest`` tokens; one that
-    holds a smaller rule's antecedent changes no verdict and is pruned. Of a url with more than ``basket`` tokens the most telling are mined, so a long
-    query string cannot blow mining up; rules are counted on whole urls. No labelled rows, or none bad, give no rules.
+    holds a smaller rule's antecedent changes no verdict and is pruned. Every such rule is found, however many tokens a url has: tokens that occur in the
+    same labelled urls, as the keys of one long query string do, are mined as one. No labelled rows, or none bad, give no rules.
     """
     spark = prepare(labelled.sparkSession)
     none = spark.createDataFrame([], "rule_id long, antecedent array<string>, support double, confidence double")
@@ -105,28 +103,33 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     need = max(least, math.ceil(support * n - 1e-9))
     if bad < need:
         return none
-    single = base.select(F.explode("items").alias("token"), "bad").groupBy("token").agg(F.count("*").alias("m"), F.count_if("bad").alias("x")).where(F.col("x") >= need)
-    worth = cut(single.select("token", _chi2(F.col("x"), F.col("m"), bad, n).alias("w")))  # a token of fewer bad urls is in no rule
-    told = base.withColumn("id", F.monotonically_increasing_id()).select("id", "bad", F.explode("items").alias("token")).join(worth, "token")
-    told = told.groupBy("id").agg(F.first("bad").alias("bad"), F.transform(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("w"), "token"))), 1, basket), lambda x: x["token"]).alias("items"))
-    baskets = told.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items")).alias("items"))
-    sets = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / max(baskets.count(), 1), minConfidence=confidence).fit(baskets).freqItemsets
-    tried = sets.where(F.array_contains("items", BLOCK) & F.size("items").between(2, largest + 1)).select(F.array_sort(F.array_remove("items", BLOCK)).alias("items"))
-    rules = cut(tried.withColumn("rule_id", F.xxhash64(F.array_join("items", "\n"))))
-    counts = None
-    for post in _indexes(rules):
-        part = arrow_map(base.select("items", F.col("bad").alias("bad")), _counter(post), "rule_id long, m long, x long")
-        counts = part if counts is None else counts.unionByName(part)
-    if counts is None:
-        return none
-    counts = counts.groupBy("rule_id").agg(F.sum("m").alias("m"), F.sum("x").alias("x"))
-    good = counts.where((F.col("x") >= need) & (F.col("x") / F.col("m") >= confidence) & (_chi2(F.col("x"), F.col("m"), bad, n) >= chi2))
-    rules = cut(rules.join(good, "rule_id").select("rule_id", "items", (F.col("x") / F.lit(n)).alias("support"), (F.col("x") / F.col("m")).alias("confidence")))
+    good = (F.col("x") / F.col("m") >= confidence) & (_chi2(F.col("x"), F.col("m"), bad, n) >= chi2)
+    held = base.withColumn("id", F.monotonically_increasing_id()).select("id", "bad", F.explode("items").alias("token"))
+    urls = F.struct(F.bit_xor(F.xxhash64("id")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("b"))
+    single = held.groupBy("token").agg(F.count("*").alias("m"), F.count_if("bad").alias("x"), urls.alias("urls")).where(F.col("x") >= need)  # a token of fewer bad urls is in no rule
+    alike = cut(single.groupBy("m", "x", "urls").agg(F.min("token").alias("token"), F.collect_list("token").alias("same")))
+    # the tree of FP-growth as a table of its paths, commonest token first; what holds a rule of one token is superfluous
+    told = held.join(alike.where(~good).select("token", F.col("m").alias("often")), "token").groupBy("id").agg(F.first("bad").alias("bad"), F.sort_array(F.collect_list(F.struct(-F.col("often"), "token"))).alias("items"))
+    paths = told.groupBy(F.array().cast("array<string>").alias("suffix"), F.col("items.token").alias("items")).agg(F.count("*").alias("m"), F.count_if("bad").alias("x"))
+    rules, grown = alike.where(good).select(F.array("token").alias("items"), "m", "x"), alike.where(~good).select(F.array().cast("array<string>").alias("suffix"), "token")
+    for size in range(2, largest + 1):  # conditional paths of each set that is not a rule, and the sets that they make
+        ends = paths.select("suffix", "items", "m", "x", F.posexplode("items").alias("pos", "token")).where("pos > 0").join(grown, ["suffix", "token"])
+        paths = cut(ends.groupBy(F.concat("suffix", F.array("token")).alias("suffix"), F.slice("items", 1, F.col("pos")).alias("items")).agg(F.sum("m").alias("m"), F.sum("x").alias("x")))
+        sets = cut(paths.select("suffix", "m", "x", F.explode("items").alias("token")).groupBy("suffix", "token").agg(F.sum("m").alias("m"), F.sum("x").alias("x")).where(F.col("x") >= need))
+        if sets.isEmpty():
+            break
+        rules, grown = rules.unionByName(sets.where(good).select(F.concat("suffix", F.array("token")).alias("items"), "m", "x")), sets.where(~good).select("suffix", "token")
+    rules = cut(rules.withColumn("items", F.array_sort("items")).withColumn("rule", F.xxhash64(F.array_join("items", "\n"))))
     # a rule of at most `largest` tokens has few proper subsets: those that are rules themselves make it superfluous
-    subsets = rules.where(F.size("items") > 1).select("rule_id", "items", F.explode(F.expr("sequence(1, shiftleft(1, size(items)) - 2)")).alias("mask"))
+    subsets = rules.where(F.size("items") > 1).select("rule", "items", F.explode(F.expr("sequence(1, shiftleft(1, size(items)) - 2)")).alias("mask"))
     sub = F.filter("items", lambda x, i: F.getbit(F.col("mask"), i) == 1)
-    held = subsets.select("rule_id", F.xxhash64(F.array_join(sub, "\n")).alias("inner")).join(rules.select(F.col("rule_id").alias("inner")), "inner").select("rule_id").distinct()
-    return rules.join(held, "rule_id", "left_anti").select("rule_id", F.col("items").alias("antecedent"), "support", "confidence")
+    inner = subsets.select("rule", F.xxhash64(F.array_join(sub, "\n")).alias("inner")).join(rules.select(F.col("rule").alias("inner")), "inner").select("rule").distinct()
+    whole = rules.join(inner, "rule", "left_anti").withColumn("antecedent", F.array().cast("array<string>"))
+    each = cut(alike.select("token", F.explode("same").alias("own")))
+    for i in range(largest):  # every choice of one token for each that was mined as one with it
+        whole = whole.withColumn("token", F.get("items", F.lit(i))).join(each, "token", "left").withColumn("antecedent", F.concat("antecedent", F.array_compact(F.array("own")))).drop("token", "own")
+    antecedent = F.array_sort("antecedent")
+    return whole.select(F.xxhash64(F.array_join(antecedent, "\n")).alias("rule_id"), antecedent.alias("antecedent"), (F.col("x") / F.lit(n)).alias("support"), (F.col("x") / F.col("m")).alias("confidence"))
 
 
 def _indexes(rules: DataFrame, index: int = INDEX) -> Iterator[dict[str, list[tuple[int, frozenset]]]]:
@@ -143,22 +146,6 @@ def _indexes(rules: DataFrame, index: int = INDEX) -> Iterator[dict[str, list[tu
             yield post
 
 
-def _counter(post):
-    def f(b: pa.RecordBatch) -> pa.RecordBatch:
-        got: dict[int, list[int]] = {}
-        for toks, bad in zip(b.column("items").to_pylist(), b.column("bad").to_pylist(), strict=True):
-            own = set(toks)
-            for t in own:
-                for i, rule in post.get(t, ()):
-                    if rule <= own:
-                        c = got.setdefault(i, [0, 0])
-                        c[0] += 1
-                        c[1] += bad
-        return pa.record_batch({"rule_id": pa.array(list(got), pa.int64()), "m": pa.array([c[0] for c in got.values()], pa.int64()), "x": pa.array([c[1] for c in got.values()], pa.int64())})
-
-    return f
-
-
 def matched(df: DataFrame, rules: DataFrame, url: str = "url", index: int = INDEX) -> DataFrame:
     """``df`` with mined (boolean; replaced where it exists): whether a rule's tokens all occur in the url. Rules travel as inverted indexes of at most ``index`` rules."""
     df = df.drop("mined")
