@@ -18,6 +18,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ UNKNOWN = 10.0
 LOOK = 64
 #: Remembered spans, their greatest length, and remembered joints.
 SPANS, SPAN, JOINTS = 500_000, 64, 2_000_000
+#: Spans of texts held at once, and positions of new spans walked at once; only memory and speed depend on them.
+HELD, CELLS = 1 << 18, 1 << 21
 
 
 class Table:
@@ -251,36 +254,62 @@ class Pieces:
         """``encode`` of each text, whose new spans are walked in lockstep first."""
         if self.span is None or not self.merges:
             return [self.encode(t) for t in texts]
-        cut = [self.span.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        out: list[list[bytes]] = [[] for _ in texts]
+        held, n = [], 0
+        for i, text in enumerate(texts):
+            for words in self._cut(text) if text else ():
+                held.append((i, words))
+                n += len(words)
+                if n >= HELD:
+                    self._encode_held(held, out)
+                    held, n = [], 0
+        self._encode_held(held, out)
+        return [np.frombuffer(b"".join(x), np.uint32) for x in out]
+
+    def _cut(self, text: str) -> Iterator[list[str]]:
+        """The spans of a text, at most ``HELD`` at a time."""
+        marked = MARK + text.replace(" ", MARK)
+        if len(marked) <= HELD:
+            yield self.span.findall(marked)
+            return
+        found = self.span.finditer(marked)
+        while part := [m[0] for m in islice(found, HELD)]:
+            yield part
+
+    def _encode_held(self, held: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+        """Appends the ids of each (text number, spans) to those of its text."""
         if len(self.spans) > SPANS:
             self.spans.clear()
-        new = {w for one in cut for w in one} - self.spans.keys()
+        spans = self.spans
+        new = {w for _, words in held for w in words} - spans.keys()
         self._lockstep([w for w in new if len(w) <= SPAN])
-        spans, out = self.spans, []
-        for one in cut:
+        for i, words in held:
             try:
-                raw = b"".join(map(spans.__getitem__, one))
+                raw = b"".join(map(spans.__getitem__, words))
             except KeyError:  # long spans go through their window
-                raw = b"".join(spans[w] if w in spans else np.array([i for part in self._merge_window(w, 0, len(w)) for i in part], np.uint32).tobytes() for w in one)
-            out.append(np.frombuffer(raw, np.uint32))
-        return out
+                raw = b"".join(spans[w] if w in spans else np.array([i for part in self._merge_window(w, 0, len(w)) for i in part], np.uint32).tobytes() for w in words)
+            out[i].append(raw)
 
     def _lockstep(self, words: list[str]) -> None:
         """Fills ``spans`` with the ids of the words: ``_merge_window`` of all of them, one start position at a time."""
         if not words:
             return
+        words.sort(key=len, reverse=True)
+        if len(words) > (step := max(1, CELLS // len(words[0]))):
+            self._lockstep(words[:step])
+            self._lockstep(words[step:])
+            return
         if self.steps is None:
             node = {p: i + 1 for i, p in enumerate(self.tree)}  # 0 is the root
             self.steps = Table(18 + max(0, len(node) // 100_000).bit_length())
             self.steps.add(np.array([node[p[:-1]] << 21 | ord(p[-1]) if len(p) > 1 else ord(p) for p in node], np.int64), np.arange(1, len(node) + 1, dtype=np.int64))
             self.own = np.array([-1, *self.tree.values()], np.int64)
             self.known = Table(16)
-        words.sort(key=len, reverse=True)
         lens = np.fromiter(map(len, words), np.int64, len(words))
         wide = int(lens[0])
-        codes = np.zeros((len(words), wide), np.int64)
+        codes = np.zeros((len(words), wide), np.int32)
         codes[np.arange(wide)[None] < lens[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        last, prev = np.full((len(words), wide + 1), -2, np.int64), np.zeros((len(words), wide + 1), np.int64)
+        last, prev = np.full((len(words), wide + 1), -2, np.int32), np.zeros((len(words), wide + 1), np.int16)
         last[:, 0] = -1
         for start in range(wide):
             at = np.flatnonzero(last[: np.searchsorted(-lens, -start), start] > -2)  # words longer than the start, with a path to it
@@ -295,7 +324,7 @@ class Pieces:
                 is_piece = own >= 0
                 w, own = at[is_piece], own[is_piece]
                 if len(w):
-                    ok = self._apart_all((last[w, start] + 1) << 24 | own)
+                    ok = self._apart_all((last[w, start].astype(np.int64) + 1) << 24 | own)
                     last[w[ok], end], prev[w[ok], end] = own[ok], start
                 if end == start + 1:  # a character that is no piece stands for itself and joins nothing
                     lone = np.setdiff1d(reached, w, assume_unique=True)

@@ -1,6 +1,7 @@
 import random
 import struct
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -533,6 +534,28 @@ def test_merge_order_ids_are_the_librarys_own():
     assert p.widest <= 2 * spviterbi.LOOK + p.reach  # the window never grows with the text
 
 
+def test_encoding_holds_few_spans_at_once(monkeypatch):
+    """Memory beyond the texts and the memo, on many spans and on many new ones; the ids do not depend on the bounds."""
+    r = random.Random(4)
+    p = spviterbi.public_pieces()
+    common = ["".join(r.choices("abcdefgh", k=5)) for _ in range(2000)]
+    many = [" ".join(r.choices(common, k=5000)) for _ in range(200)]
+    fresh = [" ".join("".join(r.choices("aeinorst", k=60)) for _ in range(100)) for _ in range(500)]
+    p.encode_all(many[:1])
+    for texts, most in ((many, 50), (fresh, 65)):
+        tracemalloc.start()
+        got = p.encode_all(texts)
+        now, peak = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert len(got) == len(texts) and (peak - now) >> 20 < most
+    texts = ["", "one two", *many[:2], *fresh[:1], "x" * 200 + " y"]
+    want = [x.tolist() for x in p.encode_all(texts)]
+    monkeypatch.setattr(spviterbi, "HELD", 7)
+    monkeypatch.setattr(spviterbi, "CELLS", 100)
+    p.spans.clear()
+    assert [x.tolist() for x in p.encode_all(texts)] == want
+
+
 def unigram_model(pieces):
     """A model file of given pieces and scores, written field by field: nothing is trained."""
     def varint(n):
