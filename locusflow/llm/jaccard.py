@@ -1,4 +1,7 @@
-"""Near-duplicates by tiled exact comparison of shingle sets.
+"""Near-duplicates by SimHash and by tiled exact comparison of shingle sets.
+
+First the SimHash fingerprints of the sets are compared by exclusive-or and bit counts, in tiles of buckets that lose no pair within
+three bits; what they link is verified on whole sets. Fingerprints further apart rule nothing out, so the rest is found exactly:
 
 Sets are ordered by one global order, shingles common in a sample last, and a pair of similarity ``least`` or more
 shares a shingle among the first n - ceil(least * n) + 1 of each, so only rows that share such a token are compared. Two
@@ -6,7 +9,7 @@ sets differ in at least as many shingles as their 512 parity bits do: within a t
 numpy exclusive-or and bit counts under the radius that the set sizes allow, tile pairs whose population counts differ beyond it
 are skipped, and what is left is verified on whole sets. None of these steps rules out a similar pair, whatever the order.
 
-First the members of a token meet its leader, the set with the most common shingles; then each token's components
+Besides the pairs of near fingerprints, the members of a token meet its leader, the set with the most common shingles; then each token's components
 meet along a forest of their likeliest pairs; at last every pair that is still of two components and not ruled out is verified.
 So a group of near copies costs about its size. Tokens of more than a tile of rows are split by set size and a hash into
 tiles that are compared pair by pair in separate tasks. Only the speed depends on the sample.
@@ -25,11 +28,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusflow.llm.common import arrow_map, utf8
-from locusflow.llm.simhash import hashes
+from locusflow.llm.simhash import hashes, near_links, simhash
 from locusflow.operators.components import connected_components
-from locusflow.session import cut, prepare, release
+from locusflow.session import cut, prepare, release, tidy
 
 WORDS, LEAST = 5, Fraction(4, 5)
+#: Bits in which linked fingerprints differ at most.
+RADIUS = 3
 #: Documents sampled to learn which shingles are common, rows of them that make a shingle common, and how many are kept.
 SAMPLE, COMMON, MOST = 4000, 4, 50_000
 #: Rows of a token that one task holds, and rows of a tile that is compared at once.
@@ -250,6 +255,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return pairs.join(a, "src").join(b, "dst").where(both * least.denominator >= (F.size("x") + F.size("y") - both) * least.numerator).select("src", "dst")
 
 
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """src < dst: pairs of ``sets`` (sig, fp) whose fingerprints differ in at most ``RADIUS`` bits, enough of them to connect all such. The first set of a
+    fingerprint stands for it, and meets its others."""
+    first = cut(sets.groupBy("fp").agg(F.min("sig").alias("one")))
+    same = sets.join(first, "fp").where("sig != one").select(F.col("one").alias("src"), F.col("sig").alias("dst"))
+    a, b = first.toDF("src", "x"), first.toDF("dst", "y")
+    near = near_links(first.select("fp"), RADIUS).join(a, "src").join(b, "dst").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
+    return same.unionByName(near)
+
+
 def text_hash(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
@@ -259,6 +274,7 @@ def near_groups(df: DataFrame, text: str = "text", words: int = WORDS, least: Fr
     the sets of ``words``-word shingles (ASCII letters in lower case, split at white space). Null texts count as empty; texts without a
     word are one component. Repeated rows count once; an empty table gives no rows."""
     spark = prepare(df.sparkSession)
+    tidy(spark)
     texts = df.select(text_hash(text).alias("h"), utf8(text).alias("raw"))
     common = _common(texts, words)
 
@@ -268,12 +284,12 @@ def near_groups(df: DataFrame, text: str = "text", words: int = WORDS, least: Fr
         first = [ordered(s, common, least) for s in sets]
         return pa.record_batch({
             "h": b.column("h"), "sig": pa.array(sig), "n": pa.array([len(s) for s in sets], pa.int64()), "prefix": pa.array([f[0] for f in first], pa.list_(pa.int64())),
-            "rare": pa.array([f[1] for f in first], pa.int64()), "score": pa.array([f[2] for f in first], pa.int64()), "bits": pa.array([parity(s) for s in sets], pa.binary()), "fine": pa.array([fine_parity(s) for s in sets], pa.binary()),
+            "rare": pa.array([f[1] for f in first], pa.int64()), "score": pa.array([f[2] for f in first], pa.int64()), "fp": pa.array(np.array([simhash(s) for s in sets], np.uint64).view(np.int64)), "bits": pa.array([parity(s) for s in sets], pa.binary()), "fine": pa.array([fine_parity(s) for s in sets], pa.binary()),
         })
 
-    rows = cut(arrow_map(texts, coded, "h long, sig long, n long, prefix array<long>, rare long, score long, bits binary, fine binary"))
+    rows = cut(arrow_map(texts, coded, "h long, sig long, n long, prefix array<long>, rare long, score long, fp long, bits binary, fine binary"))
     of = cut(rows.groupBy("h").agg(F.min("sig").alias("sig")))
-    bits = cut(rows.groupBy("sig").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("fine").alias("fine")))
+    bits = cut(rows.groupBy("sig").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("bits").alias("bits"), F.min("fine").alias("fine")))
     reps = rows.groupBy("sig").agg(F.min_by(F.struct("n", "rare", "score", "prefix"), "h").alias("r"))
     dealt = reps.select("sig", "r.n", "r.rare", "r.score", F.posexplode("r.prefix").alias("pos", "token"))
     # the leader of a token: by a window where the token is rare; a common one has too many rows for one task and is aggregated first
@@ -285,9 +301,10 @@ def near_groups(df: DataFrame, text: str = "text", words: int = WORDS, least: Fr
     lead = often.groupBy("token").agg(F.count("*").alias("many"), F.min("me").alias("lead")).where("many > 1").select("token", F.col("lead.sig").alias("lead"), F.col("lead.at").alias("lead_at"))
     shared = cut(rare.unionByName(often.drop("me").join(lead, "token")))
     release(rows)
+    tidy(spark)
     n_of, pos_of = lambda c: F.shiftright(c, 32), lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
     ok = _enough(n_of("at"), pos_of("at"), n_of("lead_at"), pos_of("lead_at"), least)
-    star = shared.where((F.col("sig") != F.col("lead")) & ok).select(F.least("lead", "sig").alias("src"), F.greatest("lead", "sig").alias("dst")).distinct()
+    star = shared.where((F.col("sig") != F.col("lead")) & ok).select(F.least("lead", "sig").alias("src"), F.greatest("lead", "sig").alias("dst"))
 
     def near(b: pa.RecordBatch) -> pa.RecordBatch:
         n = (b.column("n1").to_numpy() + b.column("n2").to_numpy()) * (least.denominator - least.numerator)
@@ -314,9 +331,14 @@ def near_groups(df: DataFrame, text: str = "text", words: int = WORDS, least: Fr
         sets = cut(arrow_map(texts, f, "h long, s array<long>").join(one, "h").select("sig", "s").dropDuplicates(["sig"]))
         found = cut(_verified(pairs, sets, least))
         release(one, sets)
+        tidy(spark)
         return found
 
-    tried = possible(star)
+    pairs = cut(fingerprint_pairs(bits.select("sig", "fp")))
+    tidy(spark)
+    tried = possible(pairs.unionByName(star).distinct())
+    release(pairs)
+    tidy(spark)
     links, left = similar(tried), shared.select("token", "sig", "at")
     for forest in (True, False):
         label = connected_components(links).select(F.col("node").alias("sig"), F.col("component").alias("comp"))
@@ -325,6 +347,7 @@ def near_groups(df: DataFrame, text: str = "text", words: int = WORDS, least: Fr
         ready = placed.join(mixed, "token").join(bits.select("sig", "n", "bits"), "sig").select("token", "sig", pos_of("at").alias("pos"), "comp", "n", "bits", "many")
         work = _tiled(ready, tile, least).repartition("token", "tile").sortWithinPartitions("token", "tile")
         got = cut(work.mapInArrow(_cross(least, forest), "src long, dst long, token long").distinct())
+        tidy(spark)
         more = cut(got.where("src is not null").select("src", "dst").join(tried, ["src", "dst"], "left_anti"))
         links = links.unionByName(similar(possible(more)))
         again = got.where("token is not null").select("token")

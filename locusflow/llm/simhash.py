@@ -43,7 +43,11 @@ def hashes(raw: bytes, words: int = WORDS) -> np.ndarray:
 
 def fingerprint(raw: bytes, words: int = WORDS) -> int:
     """64-bit SimHash of a text's word shingles; 0 without a word."""
-    h = hashes(raw, words)
+    return simhash(hashes(raw, words))
+
+
+def simhash(h: np.ndarray) -> int:
+    """64-bit SimHash of hashes (8 bytes each); 0 of none."""
     n = len(h)
     ones = np.zeros(64, np.int64)
     for i in range(0, n, 1 << 16):

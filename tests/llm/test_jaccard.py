@@ -3,7 +3,7 @@ from fractions import Fraction
 from itertools import combinations
 
 import corpus_pipeline
-from locusflow.llm import jaccard
+from locusflow.llm import jaccard, simhash
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -68,3 +68,38 @@ def test_unlinked_texts_of_one_id_stay(spark):
 def test_language_stage_without_a_known_language(spark):
     docs = spark.createDataFrame([(1, "some words", None, "s", 10), (2, "12 34", None, "s", 5), (3, None, None, "s", 0), (4, "другие слова", None, "s", 12)], COLUMNS)
     assert {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, "").collect()} == {1, 4}
+
+
+def test_dedup_stage_links_near_fingerprints(spark, monkeypatch):
+    """With the prefix comparison switched off, the pairs of near SimHash fingerprints, verified on whole sets, are what is left."""
+    r, texts = random.Random(8), []
+    for _ in range(30):
+        base = ["".join(r.choices("abcdefgh", k=4)) for _ in range(200)]
+        for _ in range(3):
+            texts.append(" ".join(base))
+            base = [*base[:-1], r.choice("xyz") * 4] if r.random() < 0.7 else base[:-60] + ["".join(r.choices("mnop", k=4)) for _ in range(60)]
+    fp = [simhash.simhash(jaccard.shingles(t.encode())) for t in texts]
+    root = list(range(len(texts)))
+    for a, b in combinations(range(len(texts)), 2):
+        if (fp[a] ^ fp[b]).bit_count() <= 3:
+            assert Fraction(len(sets(texts[a]) & sets(texts[b])), len(sets(texts[a]) | sets(texts[b]))) >= Fraction(4, 5)
+            root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    want = set(root)
+    assert kept(texts) <= want and len(want) < len(texts) - 20
+    monkeypatch.setattr(jaccard, "_enough", lambda n1, p1, n2, p2, least: n1 + n2 < 0)
+    monkeypatch.setattr(jaccard, "_cross", lambda least, forest: lambda batches: iter(()))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], COLUMNS)
+    assert {x.doc_id for x in corpus_pipeline.dedup_stage(spark, docs, "").collect()} == want
+
+
+def test_near_fingerprints_are_connected(spark):
+    r = random.Random(2)
+    fps = [r.getrandbits(64) - (1 << 63) for _ in range(40)]
+    fps += [x ^ (1 << r.randrange(63)) ^ (1 << r.randrange(63)) ^ (1 << r.randrange(63)) for x in fps for _ in range(3)] + fps[:10]
+    pairs = [(p.src, p.dst) for p in jaccard.fingerprint_pairs(spark.createDataFrame(list(enumerate(fps)), "sig long, fp long")).collect()]
+    root, want = list(range(len(fps))), list(range(len(fps)))
+    for links, of in ((pairs, root), ([(a, b) for a, b in combinations(range(len(fps)), 2) if ((fps[a] ^ fps[b]) & (1 << 64) - 1).bit_count() <= 3], want)):
+        for a, b in links:
+            x, y = of[a], of[b]
+            of[:] = [min(x, y) if z in (x, y) else z for z in of]
+    assert root == want and all(a < b for a, b in pairs) and len(set(want)) < 100
