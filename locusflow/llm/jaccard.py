@@ -39,6 +39,8 @@ RADIUS = 3
 SAMPLE, COMMON, MOST = 4000, 4, 50_000
 #: Rows of a token that one task holds, and rows of a tile that is compared at once.
 TILE, EDGE = 8192, 512
+#: Links of so few pairs, 4 MB, are joined to components in one task; more of them in rounds.
+FEW = 1 << 18
 
 
 def shingles(raw: bytes, words: int = WORDS) -> np.ndarray:
@@ -341,7 +343,7 @@ def near_groups(df: DataFrame, text: str = "text", words: int = WORDS, least: Fr
     tidy(spark)
     links, left = similar(tried), shared.select("token", "sig", "at")
     for forest in (True, False):
-        label = connected_components(links).select(F.col("node").alias("sig"), F.col("component").alias("comp"))
+        label = connected_components(links, few=FEW).select(F.col("node").alias("sig"), F.col("component").alias("comp"))
         placed = left.join(label, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
         mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).where("lo != hi").select("token", "many")
         ready = placed.join(mixed, "token").join(bits.select("sig", "n", "bits"), "sig").select("token", "sig", pos_of("at").alias("pos"), "comp", "n", "bits", "many")
@@ -354,5 +356,5 @@ def near_groups(df: DataFrame, text: str = "text", words: int = WORDS, least: Fr
         if not forest or again.isEmpty():  # no token has a pair left
             break
         tried, left = tried.unionByName(more), left.join(again, "token", "left_semi")
-    found = connected_components(links).select(F.col("node").alias("sig"), "component")
+    found = connected_components(links, few=FEW).select(F.col("node").alias("sig"), "component")
     return of.join(found, "sig", "left").select("h", F.coalesce("component", "sig").alias("component"))

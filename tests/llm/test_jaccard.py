@@ -1,9 +1,15 @@
+import ctypes
 import random
+import resource
 from fractions import Fraction
 from itertools import combinations
+from pathlib import Path
 
 import corpus_pipeline
+import pytest
 from locusflow.llm import jaccard, simhash
+from locusflow.operators import components
+from locusflow.session import tidy
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -103,3 +109,34 @@ def test_near_fingerprints_are_connected(spark):
             x, y = of[a], of[b]
             of[:] = [min(x, y) if z in (x, y) else z for z in of]
     assert root == want and all(a < b for a, b in pairs) and len(set(want)) < 100
+
+
+def test_few_links_are_joined_without_rounds(spark, monkeypatch):
+    """On a table of many partitions the rounds over its links made most of the tasks, whose records the driver holds."""
+    texts = planted(6)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], COLUMNS)
+    stars = components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda e: 1 / 0)
+    assert {r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()} == kept(texts)
+    monkeypatch.setattr(components, "_large_star", stars)
+    edges = [(i, i + 1) for i in range(30, 60)] + [(7, 90), (90, 3), (3, 3), (None, 4), (4, None), (50, 51), (-5, 7)]
+    found = lambda rows, few: sorted(map(tuple, components.connected_components(spark.createDataFrame(rows, "src long, dst long"), few=few).collect()))
+    assert found(edges, 34) == found(edges, 33) == found(edges, 0) == sorted([(i, 30) for i in range(30, 61)] + [(x, -5) for x in (7, 90, 3, -5)])
+    assert found([], 10) == found([(1, 1)], 10) == []
+
+
+def test_tidy_gives_freed_memory_back(spark):
+    libc = ctypes.CDLL(None)
+    if not hasattr(libc, "malloc_trim"):
+        pytest.skip("another C library")
+    libc.malloc.restype, libc.malloc.argtypes, libc.free.argtypes = ctypes.c_void_p, [ctypes.c_size_t], [ctypes.c_void_p]
+    held = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * resource.getpagesize() >> 20
+    blocks = [libc.malloc(1000) for _ in range(100_000)]
+    for p in blocks:
+        ctypes.memset(p, 1, 1000)
+    for p in blocks[:-1]:  # the last one keeps the heap from shrinking by itself
+        libc.free(p)
+    before = held()
+    tidy(spark)
+    assert held() < before - 60
+    libc.free(blocks[-1])
