@@ -6,6 +6,8 @@ share, so nothing is reported twice and no distinct is needed. Chains (merges, c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,21 +67,44 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, strict: bool = Fa
     return j.where(inside).drop("_bin")
 
 
-def _islands(df: DataFrame, distance: int, strict: bool, by: tuple[str, ...]) -> DataFrame:
+def _islands(df: DataFrame, distance: int, strict: bool, by: tuple[str, ...], value: str, agg: Callable[[str], Column]) -> DataFrame:
+    """Islands by, _isle (from 1), start, end and ``value`` over their rows; equal rows keep apart where they do not overlap."""
     w = Window.partitionBy(*by).orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)) + distance
     new = F.when((F.col("start") >= reach) if strict else (F.col("start") > reach), 1).when(reach.isNull(), 1).otherwise(0)
-    isle = df.withColumn("_new", new).withColumn("_isle", F.sum("_new").over(w))
-    return isle.groupBy(*by, "_isle").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("_isle")
+    isle = df.withColumn("_new", new).withColumn("_isle", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return isle.groupBy(*by, "_isle").agg(F.min("start").alias("start"), F.max("end").alias("end"), agg(value).alias(value))
+
+
+def _tiled(df: DataFrame, distance: int, strict: bool, by: tuple[str, ...], tile: int, value: str, agg: Callable[[str], Column]) -> DataFrame:
+    """Islands by, start, end and ``value`` of rows (by, start, end, value).
+
+    They are formed inside tiles of the scaffold, in separate tasks. A table of tiles carries across how far the tiles before reach
+    and which island is the last there; the islands of a tile that begin within that reach are the first of it and belong to that island.
+    """
+    isles = _islands(df.withColumn("_tile", F.floor(F.col("start") / tile)), distance, strict, (*by, "_tile"), value, agg)
+    w = Window.partitionBy(*by).orderBy("_tile")
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    tiles = isles.groupBy(*by, "_tile").agg(F.max("end").alias("_end"), F.max("start").alias("_start"), F.max("_isle").alias("_last"))
+    tiles = tiles.withColumn("_reach", F.max("_end").over(past) + distance)
+    joins = lambda c: F.coalesce((F.col(c) < F.col("_reach")) if strict else (F.col(c) <= F.col("_reach")), F.lit(False))
+    tiles = tiles.withColumn("_key", F.last(F.when(~joins("_start"), F.struct("_tile", "_last")), ignorenulls=True).over(past))
+    names = [f"_k{i}" for i in range(len(by))]
+    tiles = tiles.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col("_tile").alias("_t"), "_reach", "_key")
+    same = F.col("_tile").eqNullSafe(F.col("_t"))
+    for c, n in zip(by, names, strict=True):
+        same &= F.col(c).eqNullSafe(F.col(n))
+    own = F.struct("_tile", F.col("_isle").alias("_last"))
+    j = isles.join(tiles, same).select(*by, F.when(joins("start"), F.col("_key")).otherwise(own).alias("_key"), "start", "end", value)
+    return j.groupBy(*by, "_key").agg(F.min("start").alias("start"), F.max("end").alias("end"), agg(value).alias(value)).drop("_key")
 
 
 def merge(df: DataFrame, distance: int = 0, strict: bool = False, by: tuple[str, ...] = ("chrom",), tile: int = TILE) -> DataFrame:
     """Islands of intervals within ``distance`` of each other (book-ended ones join, unless ``strict``): by, start, end, n.
 
-    Islands are first formed inside tiles of the scaffold, in separate tasks; only these are then merged along the whole scaffold.
+    No task passes over more than a tile of a scaffold, or its table of tiles.
     """
-    part = df.select(*by, "start", "end", F.lit(1).cast("long").alias("n"), F.floor(F.col("start") / tile).alias("_tile"))
-    return _islands(_islands(part, distance, strict, (*by, "_tile")).drop("_tile"), distance, strict, by)
+    return _tiled(df.select(*by, "start", "end", F.lit(1).cast("long").alias("n")), distance, strict, by, tile, "n", F.sum)
 
 
 def indel_clusters(df: DataFrame, least: int = 2) -> DataFrame:
@@ -116,10 +141,7 @@ def multi_intersect(df: DataFrame, samples: int, distance: int = 0, length: int
     """Loci that ``samples`` distinct samples or more cover: segments within ``distance`` are joined with the least count, then those shorter than ``length`` go."""
     one = merge(df, by=("sample", "chrom"))
     seg = coverage(one, samples).withColumnRenamed("depth", "n_samples")
-    w = Window.partitionBy("chrom").orderBy("start")
-    new = F.when(F.col("start") > F.lag("end").over(w) + distance, 1).otherwise(0)
-    isle = seg.withColumn("_new", new).withColumn("_isle", F.sum("_new").over(w))
-    out = isle.groupBy("chrom", "_isle").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("n_samples").alias("n_samples")).drop("_isle")
+    out = _tiled(seg, distance, False, ("chrom",), TILE, "n_samples", F.min)
     return out.where(F.col("end") - F.col("start") >= length)
 
 

@@ -1,10 +1,11 @@
 """Steps that must not grow faster than their input."""
 
 import random
+import re
 
 import pytest
 
-from locusflow.operators import components, graph
+from locusflow.operators import components, graph, intervals
 from locusflow.operators.components import connected_components
 
 
@@ -57,3 +58,34 @@ def test_split_writes_no_copy_of_its_nodes_and_edges(spark, monkeypatch):
     edges = spark.createDataFrame([(1, 2, 0.99, 1.0), (2, 3, 0.9, 1.0), (3, 4, 0.98, 1.0), (9, 10, 0.9, 1.0), (4, 9, 1.0, 1.0)], "src long, dst long, pid double, qcov double")
     got = sorted(map(tuple, graph.split_components(members, edges, 4).select("component", "node", "sample", "part").collect()))
     assert got == [(1, 1, "a", 1), (1, 2, "b", 1), (1, 3, "a", 3), (1, 4, "b", 3), (9, 9, "a", 9), (9, 10, "b", 9), (20, 20, "a", 20)]
+
+
+def islands(rows, distance, strict):
+    out = []
+    for chrom in {r[0] for r in rows}:
+        far = None
+        for c, s, e in sorted(r for r in rows if r[0] == chrom):
+            if far is None or (s >= far + distance if strict else s > far + distance):
+                out.append([c, s, e, 1])
+            else:
+                out[-1][2:] = max(out[-1][2], e), out[-1][3] + 1
+            far = e if far is None else max(far, e)
+    return sorted(map(tuple, out))
+
+
+@pytest.mark.parametrize("distance, strict", [(0, False), (3, False), (0, True)])
+def test_merge_over_many_tiles(spark, distance, strict):
+    """Long intervals over several tiles, equal and empty ones, at small tiles."""
+    rng = random.Random(distance)
+    rows = [(c, s, s + rng.choice((0, 1, 5, 9, 9, 70))) for c in (0, 1) for s in (rng.randrange(900) for _ in range(90))]
+    rows += [*rows[:9], (2, 5, 5), (2, 5, 5), (2, 30, 30)]
+    df = spark.createDataFrame(rows, "chrom long, start long, end long")
+    got = intervals.merge(df, distance, strict, tile=16)
+    assert sorted(map(tuple, got.select("chrom", "start", "end", "n").collect())) == islands(rows, distance, strict)
+
+
+def test_no_window_over_a_scaffolds_rows(spark):
+    df = spark.createDataFrame([(1, 0, 0, 5), (2, 0, 3, 9)], "sample long, chrom long, start long, end long")
+    for out in (intervals.merge(df), intervals.multi_intersect(df, 2), intervals.low_depth_mask(df, intervals.coverage(df), 2)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"windowspecdefinition\(chrom#\w+, start#", plan)
